@@ -33,10 +33,11 @@ def round_half_up(value: Column) -> Column:
 
 
 def occupancy_tone(percent: Column, low_max: Column, peak_min: Column) -> Column:
-    """low / medium / peak; NULL when either threshold is unknown."""
-    return F.when(low_max.isNull() | peak_min.isNull() | percent.isNull(), None).when(
-        percent <= low_max, "low"
-    ).when(percent < peak_min, "medium").otherwise("peak")
+    """low / medium / peak; NULL when the share or either threshold is unknown."""
+    low = clamp(low_max.cast("double"), 0.0, 99.0)
+    peak = F.greatest(low + 1.0, F.least(F.lit(100.0), peak_min.cast("double")))
+    known = low_max.isNotNull() & peak_min.isNotNull() & percent.isNotNull()
+    return F.when(known, F.when(percent <= low, "low").when(percent < peak, "medium").otherwise("peak"))
 
 
 def crowd_level(percent: Column, low_max: Column, peak_min: Column) -> Column:
