@@ -18,6 +18,7 @@ def build_session(name: str = "crowdtide", cores: str = "*", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     if partitions:
