@@ -50,10 +50,11 @@ def asof_weather(spark, d):
     return wx.weather_as_of(times(spark, d), weather(spark, d), "hr", WX).select("hr", *[r6(F.col(k)).alias(k) for k in WX])
 
 
-@query("weather_hours", "WITH " + ASOF_WX + " SELECT hr, " + ", ".join(f"round_even(round({k}, 8), 2) AS {k}" for k in WX) + " FROM wx")
+@query("weather_hours", "WITH " + ASOF_WX + " SELECT hr, " + ", ".join(f"R6({k}, 2) AS {k}" for k in WX) + " FROM wx")
 def weather_hours(spark, d):
-    steady = weather(spark, d).select("ts", *[F.round(k, 8).alias(k) for k in WX])
-    return wx.weather_hours(times(spark, d), steady, "hr", WX)
+    # compared after rounding the same way on both sides; half-even has its own query
+    found = wx.weather_hours(times(spark, d), weather(spark, d).select("ts", *[r6(F.col(k), 2).alias(k) for k in WX]), "hr", WX)
+    return found.select("hr", *WX)
 
 
 @query("weather_day_summary", "WITH " + WEATHER + """

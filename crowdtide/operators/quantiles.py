@@ -3,8 +3,9 @@
 A built-in exact percentile keeps all distinct values of a group in one task.  Here
 values first fall into monotone bins that do not depend on the data; bin counts
 combine before the shuffle and are few per group.  The counts tell which bins hold
-the wanted ranks, and only rows of those bins are then ordered.  Equal values are
-counted rather than listed, so a value shared by a third of the rows is one row.
+the wanted ranks, and only rows of those bins are then shuffled and ordered.  Equal
+values are counted rather than listed, so a value shared by a third of the rows is
+one row.  The list of wanted bins is computed once and broadcast if it is small.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdtide.session import settle_small
+
 _FINEST = 1e-4      # below this size values share the two innermost bins
 _PER_E_FOLD = 400   # bins per factor e of size
 
@@ -21,20 +24,33 @@ def _bin(value: Column) -> Column:
     return F.when(value < 0, -steps - 1).otherwise(steps)
 
 
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def _same_bin(keys: list[str]) -> Column:
+    same = F.col("_bin") == F.col("_k_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))  # keeps groups whose key is NULL
+    return same
+
+
+def _over_bins(keys: list[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _bin_keys(keys: list[str]) -> list[Column]:
+    return [*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin")]
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles, one column per probability, plus ``n``.
 
     NULL and non-finite values are left out.
     """
-    x = F.col(value).cast("double")
-    usable = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf")))
-    tallied = usable.withColumn("_bin", _bin(F.col("_x"))).groupBy(*keys, "_bin", "_x").agg(F.count("*").alias("_n"))
-    bins = tallied.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bin_n"))
-    return _pick_ranks(tallied, bins, keys, probabilities)
-
-
-def _pick_ranks(tallied: DataFrame, bins: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    usable = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(_finite(F.col("_x"))).withColumn("_bin", _bin(F.col("_x")))
+    bins = usable.groupBy(*keys, "_bin").agg(F.count("*").alias("_bin_n"))
+    whole = _over_bins(keys)
     upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     placed = bins.withColumn("_end", F.sum("_bin_n").over(upto)).withColumn("_total", F.sum("_bin_n").over(whole))
     rank = lambda q: (F.col("_total") - 1) * F.lit(float(q))
@@ -42,30 +58,18 @@ def _pick_ranks(tallied: DataFrame, bins: DataFrame, keys: list[str], probabilit
     for q in probabilities.values():
         for r in (F.floor(rank(q)), F.ceil(rank(q))):
             wanted = wanted | ((r < F.col("_end")) & (r >= F.col("_end") - F.col("_bin_n")))
-    chosen = placed.filter(wanted).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"),
-        (F.col("_end") - F.col("_bin_n")).alias("_start"), "_total",
-    )
-    # <=> keeps groups whose key is NULL
-    same = F.col("_bin") == F.col("_k_bin")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    chosen = settle_small(placed.filter(wanted).select(*_bin_keys(keys), (F.col("_end") - F.col("_bin_n")).alias("_start"), "_total"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tallied.join(chosen, same).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    tallied = usable.join(chosen, _same_bin(keys)).groupBy(*keys, "_bin", "_x", "_start", "_total").agg(F.count("*").alias("_n"))
+    ranked = tallied.withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
     at = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")), F.col("_x")))
-    columns = [F.first("_total").alias("n")]
+    columns = [F.max("_total").alias("n")]
     for name, q in probabilities.items():
         low, high = F.floor(rank(q)), F.ceil(rank(q))
         columns += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"), F.max(rank(q) - low).alias(f"_f_{name}")]
     picked = ranked.groupBy(*keys).agg(*columns)
-    return picked.select(
-        *keys,
-        *[
-            (F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p)
-            for p in probabilities
-        ],
-        "n",
-    )
+    between = lambda p: F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")
+    return picked.select(*keys, *[between(p).alias(p) for p in probabilities], "n")
 
 
 def weighted_quantiles(
@@ -79,21 +83,18 @@ def weighted_quantiles(
     """
     usable = df.select(
         *keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w")
-    ).filter(
-        F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf"))
-        & (F.col("_w") > 0) & ~F.isnan("_w") & (F.col("_w") < float("inf"))
-    )
-    tallied = usable.withColumn("_bin", _bin(F.col("_x"))).groupBy(*keys, "_bin", "_x", "_w").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ).filter(_finite(F.col("_x")) & _finite(F.col("_w")) & (F.col("_w") > 0)).withColumn("_bin", _bin(F.col("_x")))
+    whole = _over_bins(keys)
+    in_order = whole.orderBy("_bin")
     bins = (
-        tallied.groupBy(*keys, "_bin")
-        .agg(F.sum(F.col("_w") * F.col("_n")).alias("_mass"), F.sum("_n").alias("_bin_n"), F.max("_x").alias("_top"))
-        .withColumn("_end", F.sum("_mass").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+        usable.groupBy(*keys, "_bin")
+        .agg(F.sum("_w").alias("_mass"), F.count("*").alias("_bin_n"), F.max("_x").alias("_top"))
+        .withColumn("_end", F.sum("_mass").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_mass").over(whole))
         .withColumn("_count", F.sum("_bin_n").over(whole))
-        .withColumn("_start", F.coalesce(F.lag("_end").over(whole.orderBy("_bin")), F.lit(0.0)))
-        .withColumn("_before", F.lag("_top").over(whole.orderBy("_bin")))
-        .withColumn("_is_last", F.lead("_bin").over(whole.orderBy("_bin")).isNull())
+        .withColumn("_start", F.coalesce(F.lag("_end").over(in_order), F.lit(0.0)))
+        .withColumn("_before", F.lag("_top").over(in_order))
+        .withColumn("_is_last", F.lead("_bin").over(in_order).isNull())
     )
     cut = lambda q: F.col("_total") * F.lit(float(q))
     reach = lambda q: ((F.col("_end") >= cut(q)) & ((F.col("_start") < cut(q)) | F.col("_before").isNull())) | (
@@ -102,30 +103,22 @@ def weighted_quantiles(
     wanted = F.lit(False)
     for q in probabilities.values():
         wanted = wanted | reach(q)
-    chosen = bins.filter(wanted).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"),
-        "_start", "_end", "_before", "_total", "_count", "_is_last",
-    )
-    same = F.col("_bin") == F.col("_k_bin")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    marks = ["_start", "_end", "_before", "_total", "_count", "_is_last"]
+    chosen = settle_small(bins.filter(wanted).select(*_bin_keys(keys), *marks))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_x", "_w")
     blocks = (
-        tallied.join(chosen, same)
+        usable.join(chosen, _same_bin(keys)).groupBy(*keys, "_bin", "_x", "_w", *marks).agg(F.count("*").alias("_n"))
         .withColumn("_c1", F.col("_start") + F.sum(F.col("_w") * F.col("_n")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_c0", F.col("_c1") - F.col("_w") * F.col("_n"))
         .withColumn("_prev", F.coalesce(F.lag("_x").over(inside), F.col("_before")))
     )
-    columns = [F.first("_count").alias("n"), F.first("_total").alias("total_weight")]
+    columns = [F.max("_count").alias("n"), F.max("_total").alias("total_weight")]
     for name, q in probabilities.items():
-        cutoff = cut(q)
         # Only the first of the equal values borders on the value before.
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cutoff - F.col("_c0")) / F.col("_w")))
-        here = F.when(F.col("_prev").isNull(), F.col("_x")).otherwise(
-            F.col("_prev") * (1 - share) + F.col("_x") * share
-        )
-        columns.append(F.min_by(here, F.when(reach(q) & (F.col("_c1") >= cutoff), F.struct("_x", "_w"))).alias(name))
-        columns.append(F.max("_x").alias(f"_max_{name}"))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cut(q) - F.col("_c0")) / F.col("_w")))
+        here = F.when(F.col("_prev").isNull(), F.col("_x")).otherwise(F.col("_prev") * (1 - share) + F.col("_x") * share)
+        columns.append(F.min_by(here, F.when(reach(q) & (F.col("_c1") >= cut(q)), F.struct("_x", "_w"))).alias(name))
+        columns.append(F.max(F.when(reach(q), F.col("_x"))).alias(f"_max_{name}"))
     picked = blocks.groupBy(*keys).agg(*columns)
     return picked.select(*keys, *[F.coalesce(F.col(p), F.col(f"_max_{p}")).alias(p) for p in probabilities], "n", "total_weight")
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "crowdtide", cores: str = "*", partitions: int | None = None) -> SparkSession:
@@ -45,3 +46,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="crowdtide-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a table meant to be small once, count it, and broadcast it if it is.
+
+    Above the bound it is left to an ordinary shuffled join.
+    """
+    settled = cut_lineage(df)
+    return F.broadcast(settled) if settled.count() <= max_rows else settled
