@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "series")
+MODULES = ("cleaning", "series", "crowd")
 
 
 def load() -> tuple[dict, dict]:

@@ -28,6 +28,15 @@ def round_half_even(value: Column, scale: int = 0) -> Column:
     return F.bround(value, scale)
 
 
+def whole_count(value: Column) -> Column:
+    """Half-even count, never negative.
+
+    Rounded to six decimals first, so that the order in which a distributed sum was
+    added up cannot tip an exact half.
+    """
+    return F.greatest(F.lit(0), F.bround(F.round(value, 6)).cast("long"))
+
+
 def round_half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdtide.functions.levels import round_half_even
+from crowdtide.functions.levels import round_half_even, whole_count
 from crowdtide.functions.text import underscored_key
 from crowdtide.functions.timeparts import grid_start
 
@@ -38,7 +38,7 @@ def actual_hours(readings: DataFrame, sections: DataFrame, capacity: DataFrame,
         (F.col("category_max") > 0) & (F.col("observed_cap") < F.col("category_max")),
         F.col("observed") * (F.col("category_max") / F.col("observed_cap")),
     ).otherwise(F.col("observed"))
-    return observed.withColumn("actual_count", F.greatest(F.lit(0), round_half_even(scaled).cast("long"))).select(
+    return observed.withColumn("actual_count", whole_count(scaled)).select(
         *keys, "hour_start", "actual_count",
         F.when(F.col("category_max") > 0, round_half_even(F.least(F.col("actual_count") / F.col("category_max"), F.lit(1.0)), 4)).alias("actual_pct"),
         "actual_samples",

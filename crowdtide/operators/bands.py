@@ -144,7 +144,8 @@ def bridge_bands_until_stable(
     """Bridge and merge until nothing changes.
 
     Every round shortens each day that still changes, and a day has few bands, so the
-    number of rounds is bounded by the bands of a day.  A round reads a checkpoint.
+    number of rounds is bounded by the bands of a day.  A round reads a written
+    table.
     """
     order = Window.partitionBy(*keys).orderBy("start")
     s, e = _seconds(F.col("start")), _seconds(F.col("end"))

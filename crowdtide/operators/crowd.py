@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide import config
-from crowdtide.functions.levels import clamp, round_half_even, round_half_up
+from crowdtide.functions.levels import clamp, round_half_even, round_half_up, whole_count
 from crowdtide.operators.quantiles import quantiles
 
 GROUP = ["group_kind", "group_key"]
@@ -96,7 +96,7 @@ def group_series(estimates: DataFrame, groups: DataFrame, keys: list[str]) -> Da
 
     ``estimates`` holds location_id, target_ts, count_p10/p50/p90, samples, max_cap.
     """
-    whole = lambda c: F.greatest(F.lit(0), round_half_even(F.sum(c)).cast("long"))
+    whole = lambda c: whole_count(F.sum(c))
     summed = (
         estimates.join(groups, "location_id").groupBy(*keys, "target_ts")
         .agg(
@@ -154,7 +154,7 @@ def spike_adjust(points: DataFrame, live: DataFrame, keys: list[str], now) -> Da
     low = F.least(moved["expected_p10"], moved["expected_p90"])
     high = F.greatest(moved["expected_p10"], moved["expected_p90"])
     middle = F.least(F.greatest(moved["expected"], low), high)
-    whole = lambda c: F.greatest(F.lit(0), round_half_even(c).cast("long"))
+    whole = whole_count
     out = placed.withColumns({
         "expected_raw": F.when(hit, F.col("expected")),
         "spike_adjusted": hit,

@@ -5,7 +5,8 @@ values first fall into monotone bins that do not depend on the data; bin counts
 combine before the shuffle and are few per group.  The counts tell which bins hold
 the wanted ranks, and only rows of those bins are then shuffled and ordered.  Equal
 values are counted rather than listed, so a value shared by a third of the rows is
-one row.  The list of wanted bins is computed once and broadcast if it is small.
+one row.  The list of wanted bins is written once; the planner then knows its size
+and broadcasts it if it is small.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crowdtide.session import settle_small
+from crowdtide.session import cut_lineage
 
 _FINEST = 1e-4      # below this size values share the two innermost bins
 _PER_E_FOLD = 400   # bins per factor e of size
@@ -58,7 +59,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
     for q in probabilities.values():
         for r in (F.floor(rank(q)), F.ceil(rank(q))):
             wanted = wanted | ((r < F.col("_end")) & (r >= F.col("_end") - F.col("_bin_n")))
-    chosen = settle_small(placed.filter(wanted).select(*_bin_keys(keys), (F.col("_end") - F.col("_bin_n")).alias("_start"), "_total"))
+    chosen = cut_lineage(placed.filter(wanted).select(*_bin_keys(keys), (F.col("_end") - F.col("_bin_n")).alias("_start"), "_total"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     tallied = usable.join(chosen, _same_bin(keys)).groupBy(*keys, "_bin", "_x", "_start", "_total").agg(F.count("*").alias("_n"))
     ranked = tallied.withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
@@ -104,7 +105,7 @@ def weighted_quantiles(
     for q in probabilities.values():
         wanted = wanted | reach(q)
     marks = ["_start", "_end", "_before", "_total", "_count", "_is_last"]
-    chosen = settle_small(bins.filter(wanted).select(*_bin_keys(keys), *marks))
+    chosen = cut_lineage(bins.filter(wanted).select(*_bin_keys(keys), *marks))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_x", "_w")
     blocks = (
         usable.join(chosen, _same_bin(keys)).groupBy(*keys, "_bin", "_x", "_w", *marks).agg(F.count("*").alias("_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdtide.functions.levels import whole_count
 from crowdtide.operators.bands import crowd_bands, windows_from_bands
 from crowdtide.operators.crowd import GROUP, crowd_baseline, location_groups, occupancy_thresholds
 
@@ -16,7 +17,7 @@ def observed_points(ratio: DataFrame, capacity: DataFrame, groups: DataFrame, th
     totals = (
         ratio.select("location_id", "bucket_ts", "ratio", "mean_count").join(groups, "location_id")
         .groupBy(*GROUP, F.col("bucket_ts").alias("target_ts"))
-        .agg(F.bround(F.sum("mean_count")).cast("long").alias("expected"), F.count("*").alias("sample_count"))
+        .agg(whole_count(F.sum("mean_count")).alias("expected"), F.count("*").alias("sample_count"))
     )
     return totals.join(thresholds.select(*GROUP, "capacity", "low_max", "peak_min"), GROUP).withColumn("day", F.to_date("target_ts"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(name: str = "crowdtide", cores: str = "*", partitions: int | None = None) -> SparkSession:
@@ -29,32 +28,30 @@ def build_session(name: str = "crowdtide", cores: str = "*", partitions: int | N
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
-    The folder is taken from the session.  Only a local session without one gets
-    a scratch folder; a cluster without one is told so, since a folder on one
-    machine would not outlive an executor.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="crowdtide-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-BROADCAST_ROWS = 200_000
+    Only a local session without the setting gets a scratch folder; a cluster without
+    it is told so, since a folder on one machine would not outlive an executor.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="crowdtide-"))
 
 
-def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a table meant to be small once, count it, and broadcast it if it is.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from there.
 
-    Above the bound it is left to an ordinary shuffled join.
+    It is computed once, outlives lost executors, and its size is known to the
+    planner afterwards, which then broadcasts it only if it is small enough.
     """
-    settled = cut_lineage(df)
-    return F.broadcast(settled) if settled.count() <= max_rows else settled
+    path = f"{shared_folder(df.sparkSession)}/crowdtide/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
