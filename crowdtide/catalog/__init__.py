@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "series", "crowd")
+MODULES = ("cleaning", "series", "crowd", "live")
 
 
 def load() -> tuple[dict, dict]:

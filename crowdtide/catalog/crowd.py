@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crowdtide.catalog.base import DIM, NOW, OBS, RATIO, capacity, locations, now, opened, query, r6, ratio
 from crowdtide.functions import levels
 from crowdtide.operators import bands, crowd, slots
+from crowdtide.session import cut_lineage
 from crowdtide.plans.quiet_windows import SERIES, observed_points, quiet_windows_of
 
 BASELINE = RATIO + "," + DIM + """,
@@ -75,8 +76,9 @@ bnds AS (SELECT group_key, day, CAST(band AS BIGINT) AS band, min(s) AS start, m
 
 def points(spark, d):
     groups = crowd.location_groups(locations(spark, d)).filter("group_kind = 'facility'")
-    limits = crowd.occupancy_thresholds(crowd.crowd_baseline(ratio(spark, d), capacity(spark, d), groups, min_points=60))
-    return observed_points(ratio(spark, d), capacity(spark, d), groups, limits)
+    grid, caps = cut_lineage(ratio(spark, d)), capacity(spark, d)
+    limits = crowd.occupancy_thresholds(crowd.crowd_baseline(grid, caps, groups, min_points=60))
+    return cut_lineage(observed_points(grid, caps, groups, limits))
 
 
 @query("infer_step_minutes", "WITH " + POINTS + "SELECT group_key, day, CAST(step AS INTEGER) AS step_min FROM stp")

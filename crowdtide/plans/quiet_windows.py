@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crowdtide.functions.levels import whole_count
 from crowdtide.operators.bands import crowd_bands, windows_from_bands
 from crowdtide.operators.crowd import GROUP, crowd_baseline, location_groups, occupancy_thresholds
+from crowdtide.session import cut_lineage
 
 SERIES = ["group_kind", "group_key", "day"]
 
@@ -23,9 +24,11 @@ def observed_points(ratio: DataFrame, capacity: DataFrame, groups: DataFrame, th
 
 
 def quiet_windows(ratio: DataFrame, capacity: DataFrame, dimension: DataFrame, *, min_points: int = 120, kinds=("facility",)) -> DataFrame:
+    # Both tables are read several times below and are small next to the readings.
+    ratio, capacity = cut_lineage(ratio), cut_lineage(capacity)
     groups = location_groups(dimension).filter(F.col("group_kind").isin(*kinds))
     thresholds = occupancy_thresholds(crowd_baseline(ratio, capacity, groups, min_points=min_points))
-    points = observed_points(ratio, capacity, groups, thresholds)
+    points = cut_lineage(observed_points(ratio, capacity, groups, thresholds))
     bands = crowd_bands(points, SERIES)
     quiet = windows_from_bands(bands, points, SERIES, "low").withColumn("advice", F.lit("best"))
     crowded = windows_from_bands(bands, points, SERIES, "peak").withColumn("advice", F.lit("avoid"))
