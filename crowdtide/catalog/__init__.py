@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "series", "crowd", "live")
+MODULES = ("cleaning", "series", "crowd", "live", "schedules")
 
 
 def load() -> tuple[dict, dict]:

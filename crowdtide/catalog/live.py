@@ -136,8 +136,7 @@ def upsert(spark, d):
 
 @query("delete_rules", "SELECT event_id AS id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)")
 def delete(spark, d):
-    base = alert_rules(spark, d).withColumn("user_id", F.lit(0)).drop("user_id")
-    e = table(spark, d, "events")
+    base, e = alert_rules(spark, d), table(spark, d, "events")
     owned = base.join(e.select(F.col("event_id").alias("id"), "user_id"), "id")
     return rules.delete_rules(owned, e.filter("value > 300").select("user_id"), "user_id").select("id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: names and patterns of the schedule texts --------------------
@@ -96,8 +96,11 @@ def _month_number(name: Column) -> Column:
 
 
 def parse_date_token(token: Column, year: Column, month: Column | None = None, dialect: str = "wide") -> Column:
-    """ISO, 'mon d[, y]', a bare day of a known month, and (wide only) 'm/d[/y]'."""
-    text = schedule_text(token)
+    """ISO, 'mon d[, y]', a bare day of a known month, and (wide only) 'm/d[/y]'.
+
+    The token is normalised schedule text.
+    """
+    text = token
     iso = r"^(\d{4})-(\d{2})-(\d{2})$"
     named = r"^([a-z]+)\s+(\d{1,2})(?:,\s*(\d{4}))?$"
     out = F.when(
@@ -124,26 +127,30 @@ def parse_date_token(token: Column, year: Column, month: Column | None = None, d
     return out
 
 
-def parse_date_range(label: Column, year: Column, dialect: str = "wide") -> Column:
-    """struct(start, end, span) of 'a - b' or a single date; NULL when not a date.
+def with_date_range(df: DataFrame, label: str, year: str, out: str, dialect: str = "wide") -> DataFrame:
+    """Add struct(start, end, span) of 'a - b' or a single date; NULL when not a date.
 
     ``wide`` finds a date anywhere in the label; ``strict`` wants the whole label to
     be a date or a range.  An end before the start rolls over into the next year.
+    The steps are columns of their own, so no step repeats the ones before it.
     """
-    text = schedule_text(label)
-    parts = F.filter(F.transform(F.split(text, r"\s+-\s+"), F.trim), lambda p: p != "")
-    first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
-    token = lambda t, y, m=None: parse_date_token(t, y, m, dialect)
-    start = token(first, year)
-    end = F.coalesce(token(last, F.year(start), F.month(start)), token(last, year))
-    rolled = token(last, F.year(start) + 1, F.month(start))
-    end = F.when(end < start, F.when(rolled >= start, rolled)).otherwise(end)
-    span = F.date_diff(end, start) + 1
-    fits = text.rlike(DATE_LIKE) if dialect == "wide" else (F.size(parts) <= 2)
-    return F.when(
-        fits & start.isNotNull() & end.isNotNull() & (span > 0),
-        F.struct(start.alias("start"), end.alias("end"), span.alias("span")),
-    )
+    token = lambda t, y, m=None: parse_date_token(F.col(t), y, m, dialect)
+    start, year_of = F.col("_start"), F.year("_start")
+    df = df.withColumn("_text", schedule_text(F.col(label)))
+    df = df.withColumn("_parts", F.filter(F.transform(F.split("_text", r"\s+-\s+"), lambda p: F.trim(p)), lambda p: p != ""))
+    df = df.withColumns({"_first": F.try_element_at("_parts", F.lit(1)), "_last": F.try_element_at("_parts", F.lit(-1))})
+    df = df.withColumn("_start", token("_first", F.col(year)))
+    df = df.withColumns({
+        "_near": token("_last", year_of, F.month("_start")), "_plain": token("_last", F.col(year)),
+        "_rolled": token("_last", year_of + 1, F.month("_start")),
+    })
+    df = df.withColumn("_end", F.coalesce("_near", "_plain"))
+    df = df.withColumn("_end", F.when(F.col("_end") < start, F.when(F.col("_rolled") >= start, F.col("_rolled"))).otherwise(F.col("_end")))
+    df = df.withColumn("_span", F.date_diff("_end", "_start") + 1)
+    fits = F.col("_text").rlike(DATE_LIKE) if dialect == "wide" else (F.size("_parts") <= 2)
+    known = F.coalesce(fits & (F.col("_span") > 0), F.lit(False))
+    df = df.withColumn(out, F.when(known, F.struct(start.alias("start"), F.col("_end").alias("end"), F.col("_span").alias("span"))))
+    return df.drop("_text", "_parts", "_first", "_last", "_start", "_near", "_plain", "_rolled", "_end", "_span")
 
 
 def _day_number(token: Column) -> Column:
@@ -152,8 +159,8 @@ def _day_number(token: Column) -> Column:
 
 
 def parse_weekday_set(label: Column, dialect: str = "wide") -> Column:
-    """Sorted weekday numbers, Monday 0; NULL when the label names no day."""
-    text = schedule_text(label)
+    """Sorted weekday numbers, Monday 0; NULL when the (normalised) label names no day."""
+    text = label
     token = DAY_TOKEN if dialect == "wide" else "|".join(DAY_NAMES)
     edge = r"\b" if dialect == "wide" else ""
     ranged = rf"{edge}({token})\s*-\s*({token}){edge}"
@@ -172,8 +179,11 @@ def parse_weekday_set(label: Column, dialect: str = "wide") -> Column:
 
 
 def parse_clock(token: Column, is_end: bool) -> Column:
-    """Minutes of day; midnight closes a window at 1440 and opens one at 0."""
-    text = F.regexp_replace(schedule_text(token), r"\.", "")
+    """Minutes of day; midnight closes a window at 1440 and opens one at 0.
+
+    The token is normalised schedule text without dots.
+    """
+    text = token
     shape = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$"
     hour = _group(text, shape, 1).try_cast("int")
     minute = F.coalesce(_group(text, shape, 2).try_cast("int"), F.lit(0))
@@ -186,27 +196,29 @@ def parse_clock(token: Column, is_end: bool) -> Column:
     )
 
 
-def parse_hours_window(hours: Column, dialect: str = "wide") -> Column:
-    """struct(start_min, end_min, is_closed); an end past midnight exceeds 1440."""
-    text = schedule_text(hours)
-    dashed = F.filter(F.split(text, r"\s*-\s*"), lambda p: p != "")
-    parts = dashed
+def with_hours_window(df: DataFrame, hours: str, out: str, dialect: str = "wide") -> DataFrame:
+    """Add struct(start_min, end_min, is_closed); an end past midnight exceeds 1440."""
+    df = df.withColumn("_text", schedule_text(F.col(hours)))
+    dashed = F.filter(F.split("_text", r"\s*-\s*"), lambda p: p != "")
+    df = df.withColumn("_parts", dashed)
     if dialect == "wide":
-        worded = F.filter(F.transform(F.split(text, " to ", 2), F.trim), lambda p: p != "")
-        parts = F.when((F.size(dashed) != 2) & text.contains(" to "), worded).otherwise(dashed)
-    start = parse_clock(F.try_element_at(parts, F.lit(1)), False)
-    end = parse_clock(F.try_element_at(parts, F.lit(2)), True)
-    end = F.when(end <= start, end + MINUTES_PER_DAY).otherwise(end)
-    window = lambda s, e, c: F.struct(
-        (s if isinstance(s, Column) else F.lit(s)).cast("int").alias("start_min"),
-        (e if isinstance(e, Column) else F.lit(e)).cast("int").alias("end_min"),
-        F.lit(c).alias("is_closed"),
+        worded = F.filter(F.transform(F.split("_text", " to ", 2), lambda p: F.trim(p)), lambda p: p != "")
+        df = df.withColumn("_parts", F.when((F.size("_parts") != 2) & F.col("_text").contains(" to "), worded).otherwise(F.col("_parts")))
+    undotted = lambda i: F.trim(F.replace(F.try_element_at("_parts", F.lit(i)), F.lit("."), F.lit("")))
+    df = df.withColumns({"_from": undotted(1), "_to": undotted(2)})
+    df = df.withColumns({"_s": parse_clock(F.col("_from"), False), "_e": parse_clock(F.col("_to"), True)})
+    end = F.when(F.col("_e") <= F.col("_s"), F.col("_e") + MINUTES_PER_DAY).otherwise(F.col("_e"))
+    window = lambda start, stop, closed: F.struct(
+        start.cast("int").alias("start_min"), stop.cast("int").alias("end_min"), F.lit(closed).alias("is_closed")
     )
-    return (
-        F.when(text.contains("closed"), window(0, 0, True))
-        .when(text.contains("24 hours"), window(0, MINUTES_PER_DAY, False))
-        .when((F.size(parts) == 2) & start.isNotNull() & end.isNotNull(), window(start, end, False))
+    text = F.col("_text")
+    df = df.withColumn(
+        out,
+        F.when(text.contains("closed"), window(F.lit(0), F.lit(0), True))
+        .when(text.contains("24 hours"), window(F.lit(0), F.lit(MINUTES_PER_DAY), False))
+        .when((F.size("_parts") == 2) & F.col("_s").isNotNull() & F.col("_e").isNotNull(), window(F.col("_s"), end, False)),
     )
+    return df.drop("_text", "_parts", "_from", "_to", "_s", "_e")
 
 
 def is_facility_wide(title: Column) -> Column:

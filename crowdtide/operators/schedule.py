@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdtide.functions.text import (
-    MINUTES_PER_DAY, closes_at, is_facility_wide, open_at, opens_at, parse_date_range, parse_hours_window,
-    parse_weekday_set,
+    MINUTES_PER_DAY, closes_at, is_facility_wide, open_at, opens_at, parse_weekday_set, schedule_text, with_date_range,
+    with_hours_window,
 )
 from crowdtide.functions.timeparts import at_minute, minute_of_day
+from crowdtide.session import cut_lineage
 
 RULE_KEYS = ["section_idx", "row_idx"]
 
@@ -30,12 +31,12 @@ def parsed_rules(rules: DataFrame, years: DataFrame, dialect: str = "wide") -> D
     wide = rules.filter(is_facility_wide(F.col("section_title")))
     if dialect == "wide":
         wide = wide.filter((F.trim("label") != "") & (F.trim("hours") != ""))
-    yearly = wide.join(years, "facility_id").withColumns({
-        "row_range": parse_date_range(F.col("label"), F.col("year"), dialect),
-        "title_range": parse_date_range(F.col("section_title"), F.col("year"), dialect),
-        "weekdays": parse_weekday_set(F.col("label"), dialect),
-        "window": parse_hours_window(F.col("hours"), dialect),
-    })
+    parsed = wide.join(years, "facility_id").select("facility_id", "year", *RULE_KEYS, "section_title", "label", "hours")
+    parsed = with_date_range(parsed, "label", "year", "row_range", dialect)
+    parsed = with_date_range(parsed, "section_title", "year", "title_range", dialect)
+    parsed = with_hours_window(parsed, "hours", "window", dialect).withColumn("_label", schedule_text(F.col("label")))
+    # Written once: parsing is long-winded, and every reader would repeat it.
+    yearly = cut_lineage(parsed.withColumn("weekdays", parse_weekday_set(F.col("_label"), dialect)))
     dated, titled = F.col("row_range").isNotNull(), F.col("title_range").isNotNull()
     return yearly.filter(F.col("window").isNotNull() & (dated | F.col("weekdays").isNotNull())).select(
         "facility_id", "year", *RULE_KEYS, "hours", "window",
