@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "series", "crowd", "live", "schedules")
+MODULES = ("cleaning", "series", "crowd", "live", "schedules", "calibration")
 
 
 def load() -> tuple[dict, dict]:
