@@ -17,6 +17,7 @@ from crowdtide.operators.rolling_stats import (
     DELTAS, MEAN_HOURS, RANGE_HOURS, STD_HOURS, TRENDS, deltas_and_trends, flatline_steps, rolling_statistics, weather_rolling_mean,
 )
 from crowdtide.operators.schedule import schedule_resolve
+from crowdtide.session import cut_lineage
 from crowdtide.sources.weather import weather_as_of
 
 KEYS = ["location_id"]
@@ -103,18 +104,28 @@ def feature_table(
     rows = rows.withColumnRenamed("last_bucket_age_min", "minutes_since_bucket")
     rows = as_of(rows, raw.select("location_id", "observed_at", F.col("count").alias("_raw")), KEYS, "bucket_ts", "observed_at", ["_raw"], strict=True, ages=True)
     rows = rows.withColumnRenamed("_raw_age_min", "minutes_since_raw").drop("_raw")
-    rows = rows.withColumns(time_features(F.col("bucket_ts"), grid)).withColumn("cal_day", F.to_date("bucket_ts"))
-    calendar = calendar_range_join(rows.select("cal_day").distinct(), ranges, days, "cal_day")
+    return rows.join(moment_features(targets, weather, ranges, days, rules, grid=grid), ["facility_id", "bucket_ts"]).select(
+        "location_id", "facility_id", "bucket_ts", *[F.col(f).cast("double").alias(f) for f in FEATURES]
+    )
+
+
+def moment_features(targets, weather, ranges, days, rules=None, *, grid: int = config.RESAMPLE_MINUTES) -> DataFrame:
+    """Features that depend on the facility and the time only, not on the location.
+
+    Computed once per distinct moment, a table the size of the timeline, and written
+    before it is joined to the locations.
+    """
+    moments = cut_lineage(targets.select("facility_id", "bucket_ts").distinct())
+    dates = moments.select(F.to_date("bucket_ts").alias("cal_day")).distinct()
+    calendar = calendar_range_join(dates, ranges, days, "cal_day")
+    rows = moments.withColumns(time_features(F.col("bucket_ts"), grid)).withColumn("cal_day", F.to_date("bucket_ts"))
     rows = rows.join(calendar, "cal_day").drop("cal_day")
     if rules is None:
         rows = rows.withColumns({p: F.lit(0.0) for p in PHASE_FEATURES})
     else:
-        # One lookup per facility and time, not per location.
-        moments = rows.select("facility_id", "bucket_ts").distinct()
         phases = schedule_resolve(moments, rules, "bucket_ts").withColumns(schedule_phase(F.col("window"), minute_of_day(F.col("bucket_ts"))))
         rows = rows.join(phases.select("facility_id", "bucket_ts", *PHASE_FEATURES), ["facility_id", "bucket_ts"], "left")
-    rows = rows.join(weather_features(rows, weather, grid=grid), "bucket_ts", "left")
-    return rows.select("location_id", "facility_id", "bucket_ts", *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    return cut_lineage(rows.join(weather_features(moments, cut_lineage(weather), grid=grid), "bucket_ts", "left"))
 
 
 def sanitize_features(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:

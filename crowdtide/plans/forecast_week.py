@@ -3,6 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crowdtide import config
+from crowdtide.functions.levels import occupancy_ratio
+from crowdtide.functions.timeparts import epoch_seconds, targets_for_days
+from crowdtide.operators import row_weights, segments
+from crowdtide.operators.bands import crowd_bands, windows_from_bands
+from crowdtide.operators.clean import clean_history, location_stats, resample_ratio, seasonal_profiles
+from crowdtide.operators.crowd import crowd_baseline, group_series, location_groups, occupancy_thresholds, spike_adjust, zero_at_boundary
+from crowdtide.operators.horizons import horizon_pairs, horizon_regression
+from crowdtide.operators.live_metrics import category_live_total
+from crowdtide.operators.schedule import apply_schedule_to_readings, filter_targets
+from crowdtide.plans import scoring
+from crowdtide.plans.feature_table import feature_table
+from crowdtide.plans.training import TreeParams, train_all_units, training_set
+from crowdtide.session import cut_lineage
+from crowdtide.sources.document import nest_document
+from crowdtide.sources.live import latest_per_location
+
+TARGET = ["facility_id", "day", "target_ts"]
 
 
 def location_targets(capacity: DataFrame, targets: DataFrame) -> DataFrame:
@@ -13,3 +33,125 @@ def location_targets(capacity: DataFrame, targets: DataFrame) -> DataFrame:
     if "facility_id" in targets.columns:
         return capacity.join(targets, "facility_id")
     return capacity.crossJoin(targets)
+
+
+def week_targets(dimension: DataFrame, now, rules: DataFrame | None, *, days: int = config.FORECAST_DAYS, step: int = config.RESAMPLE_MINUTES) -> DataFrame:
+    """Targets of the coming days, per facility, that its schedule leaves."""
+    facilities = dimension.select("facility_id").distinct()
+    dated = facilities.select("facility_id", F.explode(F.sequence(F.to_date(now), F.date_add(F.to_date(now), days - 1))).alias("day"))
+    both = targets_for_days(dated, step_minutes=step).unionByName(targets_for_days(dated, step_minutes=config.WINDOW_MINUTES if step < config.WINDOW_MINUTES else step)).distinct()
+    if rules is None:
+        return both.withColumn("is_boundary", F.lit(False))
+    return filter_targets(both, rules).drop("window")
+
+
+def category_key(section: str = "section_key"):
+    return F.replace(F.col(section), F.lit(" "), F.lit("_"))
+
+
+def calibrate(models: dict, spark, pairs: DataFrame) -> dict[str, DataFrame]:
+    """Profiles of all models, from their validation predictions."""
+    key = ["model_key"]
+    validated, interval = None, None
+    for model in models.values():
+        part = model.metrics["validation"]
+        validated = part if validated is None else validated.unionByName(part)
+        interval = model.metrics["profile"] if interval is None else interval.unionByName(model.metrics["profile"])
+    bounded = cut_lineage(scoring.quantile_bounds(validated, interval))
+    keys = ("holdout_rows", "holdout_mae", "holdout_coverage_err", "val_rows", "val_mae", "val_coverage_err")
+    rows = [(k, *[m.metrics.get(c) for c in keys], None, 0, False) for k, m in models.items()]
+    metrics = spark.createDataFrame(
+        rows, "model_key STRING, holdout_rows BIGINT, holdout_mae DOUBLE, holdout_coverage_err DOUBLE, val_rows BIGINT, val_mae DOUBLE, val_coverage_err DOUBLE, missing DOUBLE, drift_streak INT, force_retrain BOOLEAN"
+    )
+    baseline = metrics.select("model_key", F.coalesce("holdout_mae", "val_mae").alias("baseline_mae"))
+    drift = segments.drift_summary(bounded, key, baseline)
+    actions = metrics.join(drift.select("model_key", "alert"), key, "left").select(
+        "model_key", F.when(F.coalesce("alert", F.lit(False)), 1.0 + config.DRIFT_WIDEN_STEP).otherwise(1.0).alias("interval_multiplier")
+    )
+    owned = pairs.join(spark.createDataFrame([(k, int(i)) for k, m in models.items() for i in m.locations], "model_key STRING, location_id BIGINT"), "location_id")
+    tables = {
+        "interval": interval, "regime": segments.regime_mae_profile(bounded, key), "bias": segments.point_bias_profile(bounded, key),
+        "drift": segments.drift_bias_profile(bounded, key), "conformal": segments.conformal_margins(bounded, key),
+        "scores": scoring.model_scores(metrics), "widen": actions, "horizon": horizon_regression(owned, key),
+    }
+    return {n: cut_lineage(t) for n, t in tables.items()}
+
+
+def build_forecast(
+    readings: DataFrame, dimension: DataFrame, weather: DataFrame, ranges: DataFrame, days: DataFrame, now, *,
+    rules: DataFrame | None = None, params: TreeParams = TreeParams(), grid: int = config.RESAMPLE_MINUTES, forecast_days: int = config.FORECAST_DAYS,
+    min_points: int = config.BASELINE_MIN_POINTS, min_rows: int = config.MIN_TRAIN_ROWS,
+) -> dict[str, DataFrame]:
+    """Readings -> points, bands, windows and the nested document of the coming week.
+
+    ``readings`` holds the opened readings; ``dimension`` location, facility, section.
+    """
+    spark = readings.sparkSession
+    known = readings.join(dimension.select("location_id", "facility_id"), "location_id")
+    scheduled = apply_schedule_to_readings(known, rules) if rules is not None else known
+    stages = clean_history(scheduled)
+    raw, capacity = cut_lineage(stages["clean"]), cut_lineage(stages["capacity"])
+    ratio = cut_lineage(resample_ratio(raw, grid))
+    profiles = cut_lineage(seasonal_profiles(ratio))
+    stats = cut_lineage(location_stats(ratio, now))
+    dim = cut_lineage(dimension.withColumn("category_key", category_key()))
+
+    history = ratio.join(dim, "location_id").select("location_id", "facility_id", "bucket_ts")
+    targets = cut_lineage(week_targets(dim, now, rules, days=forecast_days, step=grid))
+    located = location_targets(dim.select("location_id", "facility_id", "category_key").join(capacity, "location_id", "left"), targets)
+    future = located.select("location_id", "facility_id", F.col("target_ts").alias("bucket_ts"))
+    features = lambda rows: cut_lineage(feature_table(rows, ratio, raw, profiles, weather, ranges, days, rules, grid=grid))
+    trained_on = features(history)
+    balance = row_weights.location_balance_weights(stats)
+    sets = cut_lineage(training_set(trained_on, ratio, balance, locations=1).join(dim.select("location_id", "category_key"), "location_id"))
+
+    facilities = sorted(r[0] for r in dim.select("facility_id").distinct().collect())  # one row per facility
+    units = [(f"{f}__all", f, None) for f in facilities] + [(f"{f}__{c}", f, c) for f in facilities for c in config.TRAINABLE_CATEGORIES]
+    models, report = train_all_units(sets, units, params, min_rows=min_rows)
+
+    keys = spark.createDataFrame([(k,) for k in models] or [("",)], "model_key STRING")
+    tagged = dim.select("location_id", F.concat(F.col("facility_id").cast("string"), F.lit("__all")).alias("fallback_key"),
+                        F.concat_ws("__", F.col("facility_id").cast("string"), "category_key").alias("primary_key"))
+    tagged = tagged.join(keys.withColumnRenamed("model_key", "primary_key").withColumn("_p", F.lit(True)), "primary_key", "left").withColumn(
+        "primary_key", F.when(F.col("_p"), F.col("primary_key")).otherwise(F.col("fallback_key"))
+    ).drop("_p")
+    full = located.join(tagged, "location_id").join(stats.select("location_id", "samples", "is_stale"), "location_id", "left")
+    live = latest_per_location(readings, ["observed_at", "current_capacity", "max_capacity"]).select(
+        "location_id", occupancy_ratio(F.col("current_capacity"), F.col("max_capacity")).alias("live_ratio"),
+        F.greatest(F.lit(0.0), (epoch_seconds(now) - epoch_seconds(F.col("observed_at"))) / 60.0).alias("live_age"),
+    ).filter(F.col("live_age") <= config.SPIKE_MAX_AGE_MIN)
+    if models:
+        members = tagged.select("location_id", F.explode(F.array_distinct(F.array("primary_key", "fallback_key"))).alias("model_key"))
+        pair_rows = row_weights.with_recency(sets, "bucket_ts").select("location_id", "bucket_ts", F.col("label").alias("ratio"), "row_weight", "recency")
+        calibration = calibrate(models, spark, cut_lineage(horizon_pairs(pair_rows, ratio)))
+        eligible = stats.filter((F.col("samples") >= config.MIN_SAMPLES_PER_LOCATION) & ~F.col("is_stale")).select("location_id")
+        scored = cut_lineage(scoring.score_units(features(future).join(eligible, "location_id", "left_semi"), models, members, calibration["interval"]))
+        estimates = scoring.estimate_locations(full, scored, calibration, profiles, live, now)
+    else:
+        from crowdtide.operators.profiles import profile_fallback_join
+
+        flat = profile_fallback_join(full, profiles, "target_ts")
+        value = F.coalesce("profile_ratio", F.lit(0.0)) * F.coalesce("max_cap", F.lit(0))
+        estimates = flat.select("location_id", "target_ts", *[value.alias(f"count_{p}") for p in ("p10", "p50", "p90")], F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("max_cap", F.lit(0)).alias("max_cap"))
+    estimates = cut_lineage(estimates)
+
+    groups = dim.select("location_id", "facility_id", "category_key")
+    boundary = targets.select("facility_id", "target_ts", "day", "is_boundary")
+    categories = group_series(estimates, groups.filter(F.col("category_key").isin(*config.TRAINABLE_CATEGORIES)), ["facility_id", "category_key"])
+    live_total = category_live_total(latest_per_location(readings, ["observed_at", "current_capacity"]), groups, now, ["facility_id", "category_key"]).drop("observed")
+    points = categories.join(boundary, ["facility_id", "target_ts"])
+    points = zero_at_boundary(spike_adjust(points, live_total, ["facility_id", "category_key", "day"], now))
+    total = zero_at_boundary(group_series(estimates, groups.select("location_id", "facility_id"), ["facility_id"]).join(boundary, ["facility_id", "target_ts"]))
+
+    limits = occupancy_thresholds(crowd_baseline(ratio, capacity, location_groups(dim), min_points=min_points))
+    facility_limits = limits.filter("group_kind = 'facility'").select(F.col("group_key").cast("bigint").alias("facility_id"), "low_max", "peak_min")
+    windowed = cut_lineage(total.filter(F.minute("target_ts") % config.WINDOW_MINUTES == 0).join(facility_limits, "facility_id"))
+    bands = cut_lineage(crowd_bands(windowed, ["facility_id", "day"]))
+    best = windows_from_bands(bands, windowed, ["facility_id", "day"], "low").withColumn("advice", F.lit("best"))
+    avoid = windows_from_bands(bands, windowed, ["facility_id", "day"], "peak").withColumn("advice", F.lit("avoid"))
+    points = cut_lineage(points.unionByName(total.withColumn("category_key", F.lit("total")), allowMissingColumns=True))
+    document = nest_document(points.withColumn("hour_start", F.col("target_ts")))
+    return {
+        "points": points, "bands": bands, "windows": best.unionByName(avoid), "thresholds": limits, "document": document,
+        "report": spark.createDataFrame(report, "model_key STRING, rows BIGINT, status STRING"),
+    }
