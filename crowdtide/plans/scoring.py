@@ -191,12 +191,16 @@ def recursive_score(features: DataFrame, ratio: DataFrame, week_profiles: DataFr
         table = pdf[names].to_numpy(dtype="float64")
         at_profile = lambda s: np.nan if profile is None else float(profile[int((s // 86400 + 3) % 7 * 24 + s % 86400 // 3600)])
         window = lambda s, hours: [known[t] for t in range(s - max(hours * 3600, steps), s, steps) if t in known]
-        out = []
+        out, guessed = [], []
         for row, s in zip(table, pdf["sec"].to_numpy()):
             s = int(s)
             x = row.copy()
             put = lambda n, v: x.__setitem__(column[n], v)
             get = lambda n: x[column[n]]
+            latest = max((t for t in guessed if t < s), default=None)
+            since = get("minutes_since_bucket")
+            if latest is not None and (np.isnan(since) or (s - latest) / 60.0 < since):
+                put("last_bucket", known[latest]), put("minutes_since_bucket", (s - latest) / 60.0)
             for n, minutes in lags.items():
                 t = s - minutes * 60
                 put(n, known.get(t, at_profile(t)))
@@ -226,8 +230,8 @@ def recursive_score(features: DataFrame, ratio: DataFrame, week_profiles: DataFr
                 node = np.where(full[feat[node]] <= thr[node], left[node], right[node])
             p50 = float(min(max((value[node] * weights).sum(), 0.0), 1.2))
             out.append(p50)
-            for t in range(s, s - s % 3600 + 3600, steps):  # this target and the rest of its hour
-                known[t] = p50
+            guessed = list(range(s, s + 3600, steps))  # this target and the hour after it
+            known.update((t, p50) for t in guessed)
         return pd.DataFrame({"location_id": pdf["location_id"].to_numpy(), "bucket_ts": pdf["bucket_ts"].to_numpy(), "p50": out})
 
     return rows.groupBy("location_id").applyInPandas(lambda pdf: run(pdf), schema)
