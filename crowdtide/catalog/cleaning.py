@@ -157,3 +157,12 @@ def alert(spark, d):
         "rows_read", "rows_invalid", "invalid_rate", "stale_rate", "modeled_locations",
         F.array_join("critical", ",").alias("critical"), F.array_join("warnings", ",").alias("warnings"), "severity",
     )
+
+
+@query("series_counters", "WITH " + OBS + """SELECT CAST((SELECT count(*) FROM opened) - (SELECT count(*) FROM series) AS BIGINT) AS duplicates_removed, (SELECT count(*) FROM series) AS kept_before_jumps""")
+def series_counters(spark, d):
+    from crowdtide.session import cut_lineage
+
+    stages = clean.clean_history(clean.open_readings(readings(spark, d)))
+    stages = {n: cut_lineage(t) for n, t in stages.items()}
+    return clean.series_counters(stages).select("duplicates_removed", (F.lit(0) + stages["deduped"].count()).cast("bigint").alias("kept_before_jumps"))

@@ -128,3 +128,29 @@ def recursive(spark, d):
     ahead = rows.filter((F.col("facility_id") == 0) & (F.col("bucket_ts") >= start))
     known = grid.filter(F.col("bucket_ts") < start)
     return recursive_score(ahead, known, ft.profile_arrays(seasonal_profiles(known)), model, grid=60)
+
+
+@query("estimate_locations")
+def estimate(spark, d):
+    """Blend of a section model and an overall model, both hour-of-day means, at every grid step."""
+    from crowdtide.catalog.base import capacity, now
+    from crowdtide.operators.segments import conformal_margins, drift_bias_profile, point_bias_profile, regime_mae_profile
+    from crowdtide.plans.scoring import estimate_locations
+
+    own = predictions(spark, d)
+    both = cut_lineage(own.unionByName(own.withColumns({"model_key": F.lit("all"), **{p: F.col(p) * 0.9 for p in ("p10", "p50", "p90")}})))
+    keys = ["model_key"]
+    calibration = {
+        "regime": regime_mae_profile(both, keys), "bias": point_bias_profile(both, keys), "drift": drift_bias_profile(both, keys), "conformal": conformal_margins(both, keys),
+        "scores": both.select("model_key").distinct().withColumn("score", F.when(F.col("model_key") == "all", 40.0).otherwise(60.0)),
+        "widen": both.select("model_key").distinct().withColumn("interval_multiplier", F.lit(1.15)),
+    }
+    calibration = {n: cut_lineage(t) for n, t in calibration.items()}
+    grid = cut_lineage(ratio(spark, d))
+    targets = both.filter("model_key <> 'all'").select("location_id", F.col("ts").alias("target_ts"), F.col("model_key").alias("primary_key"), F.lit("all").alias("fallback_key"))
+    counts = grid.groupBy("location_id").agg(F.count("*").alias("samples"))
+    targets = cut_lineage(targets.join(capacity(spark, d), "location_id").join(counts, "location_id"))
+    live = counts.select("location_id", F.lit(0.5).alias("live_ratio"), F.lit(12.0).alias("live_age"))
+    scored = both.select("model_key", "location_id", "ts", "p10", "p50", "p90", F.lit(0.1).alias("missing"))
+    out = estimate_locations(targets, scored, calibration, cut_lineage(seasonal_profiles(grid)), live, now())
+    return out.select("location_id", "target_ts", "count_p10", "count_p50", "count_p90", "samples")

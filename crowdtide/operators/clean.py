@@ -10,7 +10,7 @@ from crowdtide.functions.levels import clamp, finite
 from crowdtide.functions.timeparts import epoch_micros, grid_start
 from crowdtide.operators.chunks import CHUNK, DAY, MINUTE, US, number_islands, previous_row
 from crowdtide.operators.kept_rows import keep_chained
-from crowdtide.operators.quantiles import quantiles
+from crowdtide.session import cut_lineage
 
 
 def open_readings(readings: DataFrame, since=None) -> DataFrame:
@@ -106,7 +106,7 @@ def stuck_runs(runs: DataFrame) -> DataFrame:
 
 def thin_flatlines(series: DataFrame) -> DataFrame:
     """Keep one reading an hour of a stuck run, and every other reading."""
-    runs = flat_runs(series)
+    runs = cut_lineage(flat_runs(series))  # read for the stuck runs and again to be thinned
     marked = runs.join(
         stuck_runs(runs).select("location_id", "run", F.lit(True).alias("_stuck")), ["location_id", "run"], "left"
     )
@@ -124,11 +124,7 @@ def thin_flatlines(series: DataFrame) -> DataFrame:
 
 
 def resample_ratio(series: DataFrame, minutes: int = config.RESAMPLE_MINUTES) -> DataFrame:
-    """Mean count per grid step and its share of the capacity, in [0, 1.2].
-
-    ``is_boundary`` rows, when present, force the ratio of opening and closing
-    steps to 0.
-    """
+    """Mean count per grid step and its share of the capacity, in [0, 1.2]."""
     step = grid_start(F.col("observed_at"), minutes)
     grid = (
         series.groupBy("location_id", step.alias("bucket_ts"))

@@ -81,8 +81,8 @@ def with_overall(sections: DataFrame) -> DataFrame:
     """One row per section and location, and per facility an ``overall`` of all of them."""
     exploded = sections.select(
         "facility_id", normalize_key(F.col("section_key")).alias("section_key"), "section_title",
-        F.explode("ids").cast("long").alias("location_id"),
-    ).filter("section_key <> '' AND location_id IS NOT NULL")
+        F.explode("ids").alias("location_id"),
+    ).withColumn("location_id", F.col("location_id").cast("long")).filter("section_key <> '' AND location_id IS NOT NULL")
     overall = exploded.select("facility_id", F.lit("overall").alias("section_key"), F.lit("Entire Facility").alias("section_title"), "location_id")
     return exploded.unionByName(overall).dropDuplicates(["facility_id", "section_key", "location_id"])
 
