@@ -40,7 +40,7 @@ def tokenizer_file(name: str) -> str:
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 t AS (
-  SELECT *, list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '{WORD}')) AS lines,
+  SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines,
          [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] AS trios FROM w),
 twice AS (
   SELECT doc_id, trio FROM (SELECT doc_id, unnest(trios) AS trio FROM t) GROUP BY 1, 2 HAVING count(*) > 1),
@@ -52,7 +52,7 @@ m AS (
   SELECT doc_id, len(ws) AS n_words, coalesce(list_sum([length(w) FOR w IN ws]), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-         len(list_filter(ws, w -> regexp_matches(w, '[A-Z].*[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) AS n_upper
+         len(list_filter(ws, lambda w: regexp_matches(w, '[A-Z].*[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) AS n_upper
   FROM t LEFT JOIN covered USING (doc_id)),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
