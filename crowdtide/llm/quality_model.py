@@ -27,13 +27,13 @@ from crowdtide.llm.words import pieces, word_hashes, word_spans
 from crowdtide.session import cut_lineage
 
 PASSAGE = 64
-HASHED = 64            # signed buckets for the words themselves
+HASHED = 16            # signed buckets for the words themselves
 HIDDEN = 24
 ATTENTION = 16
 MAX_TRAIN = 6000       # labelled documents the model is fitted on, at most
-STEPS = 240
+STEPS = 160
 RATE = 0.02
-DECAY = 1e-4
+DECAY = 1e-3
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -44,10 +44,18 @@ _CLASSES = {
 _TABLES = np.zeros((len(_CLASSES), 256), dtype=bool)
 for _k, _chars in enumerate(_CLASSES.values()):
     _TABLES[_k, list(_chars)] = True
-DENSE = len(_CLASSES) * 2 + 8
+DENSE = len(_CLASSES) * 2 + 9
 FEATURES = DENSE + HASHED
 
 
+def _seen_before(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    order = np.lexsort((hashes, of))
+    h, o = hashes[order], of[order]
+    same = np.zeros(len(order), dtype=bool)
+    same[order[1:]] = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    return same
+
+
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and the row of the text each belongs to; every text has one at least."""
     n = len(offsets) - 1
@@ -72,19 +80,21 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         out[:, 2 * k] = sums(found) / chars           # share of characters
         out[:, 2 * k + 1] = sums(found > 0) / size    # share of words that have one
     base = 2 * len(_CLASSES)
-    lower, upper, digit, symbol = counts[:4]
+    lower, upper, _, symbol = counts[:4]
     out[:, base] = sums((upper > 1) & (lower == 0)) / size
     out[:, base + 1] = sums(symbol == bytes_of) / size
-    out[:, base + 2] = sums(digit > 0) / size
     out[:, base + 3] = chars / size / 10
     out[:, base + 4] = np.sqrt(np.maximum(sums(bytes_of ** 2) / size - (chars / size) ** 2, 0)) / 10
     out[:, base + 5] = np.log1p(size) / 5
     hashes = word_hashes(data, starts, stops)
-    # words seen before in the passage
-    order = np.lexsort((hashes, of))
-    same = np.zeros(len(order), dtype=bool)
-    same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (of[order][1:] == of[order][:-1])
-    out[:, base + 6] = np.bincount(of[order], weights=same, minlength=total) / size
+    # words, and pairs of words, seen before in the passage; words that are the one before again
+    again = np.zeros(len(of), dtype=bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
+    out[:, base + 2] = sums(again) / size
+    out[:, base + 6] = sums(_seen_before(hashes, of)) / size
+    pairs = hashes.copy()
+    pairs[1:] += hashes[:-1] * np.uint64(3)
+    out[:, base + 8] = sums(_seen_before(pairs, of)) / size
     out[:, base + 7] = np.log1p(np.repeat(words, per_row)) / 10
     bucket = (hashes % np.uint64(HASHED)).astype(np.int64)
     sign = np.where((hashes >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
@@ -110,10 +120,13 @@ class Model:
         self.value, self.gate, self.attend = draw(HIDDEN, ATTENTION), draw(HIDDEN, ATTENTION), draw(ATTENTION, 1)
         self.head, self.head_bias = draw(HIDDEN, 1), np.zeros(1, np.float32)
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) * self.scale, -8, 8)
+
     def forward(self, x: np.ndarray, bag: np.ndarray) -> tuple:
         """``bag``: rising document numbers of the passages, every number from 0 on in use."""
         starts = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
-        h = np.tanh((x - self.mean) * self.scale @ self.encode + self.encode_bias)
+        h = np.tanh(self.standard(x) @ self.encode + self.encode_bias)
         value, gate = np.tanh(h @ self.value), _sigmoid(h @ self.gate)
         weight = (value * gate @ self.attend)[:, 0]
         weight = np.exp(weight - np.maximum.reduceat(weight, starts)[bag])
@@ -127,7 +140,7 @@ class Model:
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> Model:
         self.mean = x.mean(axis=0)
         self.scale = 1 / np.maximum(x.std(axis=0), 0.02)
-        z = np.clip((x - self.mean) * self.scale, -8, 8)
+        z = self.standard(x)
         weight_of = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         moments = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in self.NAMES}
         for step in range(1, STEPS + 1):
