@@ -95,7 +95,7 @@ f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 30 * n_words) AS kept
+            OR 100 * n_dup_lines > 70 * n_lines OR 100 * n_upper > 30 * n_words) AS kept
 FROM f
 """)
 def op3_quality_rules(spark, folder):

@@ -28,7 +28,7 @@ RULES: dict[str, str] = {
     "symbols": "100 * n_symbols > 10 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 70 * n_lines",
     "shouting": "100 * n_upper_words > 30 * n_words",
 }
 BITS = {name: 1 << k for k, name in enumerate(RULES)}
