@@ -170,16 +170,17 @@ def zone_metrics(spark, d):
     return live_metrics.zone_metrics(zones, latest_rows(spark, d)).select("zone_id", r6(F.col("ratio")).alias("ratio"), "closed")
 
 
-@query("zone_point_join", """WITH p AS (SELECT event_id, value / 6 AS x, (event_id * 37 % 100) + 0.25 AS y FROM events),
+@query("zone_point_join", """WITH e AS (SELECT row_number() OVER () AS n, * FROM (SELECT value / 6 AS x, (event_id * 37 % 100) + 0.25 AS y FROM events UNION ALL SELECT value / 6, (event_id * 37 % 100) + 0.25 FROM events)), p AS (SELECT n, x, y FROM e),
 z AS (SELECT * FROM (VALUES ('square', 0, 0.4, 10.0, 60.0, 10.0, 60.0), ('wide', 1, 0.7, 40.0, 90.0, 20.0, 50.0), ('tied', 2, 0.7, 50.0, 95.0, 30.0, 80.0)) t(zone_id, o, ratio, x0, x1, y0, y1))
-SELECT event_id, zone_id, ratio FROM (SELECT p.event_id, z.zone_id, CAST(z.ratio AS DOUBLE) AS ratio, row_number() OVER (PARTITION BY event_id ORDER BY z.ratio DESC, o DESC) AS rn FROM p JOIN z ON x > x0 AND x < x1 AND y > y0 AND y < y1) WHERE rn = 1""")
+SELECT R6(x, 6) AS x, y, zone_id, ratio FROM (SELECT p.x, CAST(p.y AS DOUBLE) AS y, z.zone_id, CAST(z.ratio AS DOUBLE) AS ratio, row_number() OVER (PARTITION BY n ORDER BY z.ratio DESC, o DESC) AS rn FROM p JOIN z ON x > x0 AND x < x1 AND y > y0 AND y < y1) WHERE rn = 1""")
 def zone_points(spark, d):
     corner = lambda x, y: f"named_struct('x', {x}D, 'y', {y}D)"
     box = lambda x0, x1, y0, y1: f"array({corner(x0, y0)}, {corner(x1, y0)}, {corner(x1, y1)}, {corner(x0, y1)})"
     zones = spark.sql(f"""SELECT zone_id, zone_order, CAST(ratio AS DOUBLE) AS ratio, closed, corners FROM VALUES ('square', 0, 0.4, false, {box(10, 60, 10, 60)}), ('wide', 1, 0.7, false, {box(40, 90, 20, 50)}),
         ('tied', 2, 0.7, false, {box(50, 95, 30, 80)}), ('shut', 3, 0.9, true, {box(0, 100, 0, 100)}) AS t(zone_id, zone_order, ratio, closed, corners)""")
-    points = table(spark, d, "events").select("event_id", (F.col("value") / 6).alias("x"), (F.col("event_id") * 37 % 100 + 0.25).cast("double").alias("y"))
-    return live_metrics.zone_point_join(points, zones).select("event_id", "zone_id", "ratio")
+    # no id, and every point twice: each of them stays a row
+    points = table(spark, d, "events").select((F.col("value") / 6).alias("x"), (F.col("event_id") * 37 % 100 + 0.25).cast("double").alias("y"))
+    return live_metrics.zone_point_join(points.unionAll(points), zones).select(r6(F.col("x")).alias("x"), "y", "zone_id", "ratio")
 
 
 ACTUAL = OBS + "," + DIM + """,

@@ -147,9 +147,28 @@ def best(spark, d):
     return schedule.best_rule(c, ["facility_id", "day"], F.col("event_id")).select("facility_id", "day", F.col("winner").alias("event_id"))
 
 
-@query("extract_schedule_from_pages", "SELECT page_id, 'error' AS status, 'parsed 0 schedule sections' AS error, 0 AS sections FROM pages")
+FIXTURE_PAGES = {
+    -1: "<h1>Site</h1><h2>About &amp; us</h2><h3>Pool&nbsp;Hours</h3><table class='x'><tr><th>Day</th><th>Hours</th></tr><tr><td>Mon&#8211;Fri</td><td>6am &#x2013; 10pm</td></tr>"
+        "<tr><td>Saturday</td><td><b>8am</b><br>- 8pm</td></tr><tr><td>Note</td><td>bring a towel</td></tr></table>",
+    -2: "<p>Check back <b>later</b> for summer<br>hours.</p><p>No scheduled maintenance closures&#32;at this time.</p>",
+    -3: "<h2>Building Hours</h2><table><tr><td>Date</td><td>Hours</td></tr></table>",
+    -4: "<html>Just a moment... Checking your browser</html>",
+    -5: "<h2>Courts</h2><table><tr><td>Sunday</td><td>Closed</td></tr></table><h2>Track</h2><TABLE><TR><TD>Jan 5</TD><TD>noon - 4pm</TD></TR></TABLE><h4>Ice schedule</h4>"
+        "<table><tr><td>Daily</td><td>24&nbsp;hours</td></tr></table><table><tr><td> daily </td><td>24 hours</td></tr></table>",
+    -6: "",
+}
+EXTRACTED = """VALUES (-1, 'ok', NULL, '[{"title":"Pool Hours","rows":[{"label":"Mon–Fri","hours":"6am – 10pm"},{"label":"Saturday","hours":"8am - 8pm"}]}]'),
+  (-2, 'ok', NULL, '[{"title":"Seasonal Notice","rows":[],"note":"Check back later for summer hours."},{"title":"Maintenance Closures","rows":[],"note":"No scheduled maintenance closures at this time."}]'),
+  (-3, 'error', 'parsed 0 schedule sections', '[]'), (-4, 'error', 'bot challenge', '[]'),
+  (-5, 'ok', NULL, '[{"title":"Courts","rows":[{"label":"Sunday","hours":"Closed"}]},{"title":"Track","rows":[{"label":"Jan 5","hours":"noon - 4pm"}]},{"title":"Ice schedule","rows":[{"label":"Daily","hours":"24 hours"}]},{"title":"Ice schedule","rows":[{"label":"daily","hours":"24 hours"}]}]'),
+  (-6, 'error', 'parsed 0 schedule sections', '[]')"""
+
+
+@query("extract_schedule_from_pages", "SELECT page_id, 'error' AS status, 'parsed 0 schedule sections' AS error, '[]' AS sections FROM pages UNION ALL " + EXTRACTED)
 def extract(spark, d):
-    return extract_schedule(table(spark, d, "pages")).select("page_id", "status", "error", F.size("sections").alias("sections"))
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    fixtures = spark.createDataFrame([(k, "https://example.com", html) for k, html in FIXTURE_PAGES.items()], pages.schema)
+    return extract_schedule(pages.unionByName(fixtures)).select("page_id", "status", "error", F.to_json("sections").alias("sections"))
 
 
 @query("canonical_section", """SELECT event_id, CASE WHEN k IN ('overall', 'entire facility', 'facility', 'all', 'all sections', 'whole gym') THEN 'overall' ELSE k END AS section_key

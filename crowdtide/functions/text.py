@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdtide.functions.markup import single_spaced
+
 # --- fixed values: names and patterns of the schedule texts --------------------
 OVERALL_NAMES = ("overall", "entire facility", "facility", "all", "all sections", "whole gym")
 DAY_NAMES = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -36,27 +38,17 @@ NOTICE_CLOSURES = r"(?i)(no scheduled maintenance closures at this time\.?)"
 CHALLENGE_WORDS = (
     "please enable javascript", "checking your browser", "challenge-platform", "just a moment...", "cf-chl-",
 )
-ENTITIES = {
-    "&nbsp;": " ", "&#160;": " ", "&ndash;": "–", "&#8211;": "–", "&mdash;": "—", "&#8212;": "—",
-    "&rsquo;": "’", "&#8217;": "’", "&lsquo;": "‘", "&#8216;": "‘", "&ldquo;": "“", "&#8220;": "“",
-    "&rdquo;": "”", "&#8221;": "”", "&hellip;": "…", "&bull;": "•", "&middot;": "·", "&lt;": "<", "&gt;": ">",
-    "&quot;": '"', "&#34;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&amp;": "&", "&#38;": "&",
-}
 MINUTES_PER_DAY = 1440
 # -------------------------------------------------------------------------------
 
 
-def clean_text(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, r"\s+", " "))
-
-
 def normalize_key(value: Column) -> Column:
-    return clean_text(F.lower(F.coalesce(value, F.lit(""))))
+    return single_spaced(F.lower(F.coalesce(value, F.lit(""))))
 
 
 def spaced_key(value: Column) -> Column:
     """Underscores count as spaces."""
-    return clean_text(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[_\s]+", " "))
+    return single_spaced(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[_\s]+", " "))
 
 
 def underscored_key(value: Column) -> Column:
@@ -75,7 +67,7 @@ def canonical_section(value: Column) -> Column:
 
 def schedule_text(value: Column) -> Column:
     """Lower case, plain dashes, single spaces."""
-    return clean_text(F.translate(F.lower(value), "–—", "--"))
+    return single_spaced(F.translate(F.lower(value), "–—", "--"))
 
 
 def _group(value: Column, pattern: str, number: int) -> Column:
@@ -273,27 +265,20 @@ def schedule_phase(window: Column, minute: Column) -> dict[str, Column]:
     }
 
 
-def strip_html(value: Column) -> Column:
-    """Breaks and tags become spaces, common entities their characters."""
-    text = F.regexp_replace(F.regexp_replace(value, r"(?i)<br\s*/?>", " "), r"<[^>]+>", " ")
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return clean_text(F.regexp_replace(text, " ", " "))
-
-
-def is_header_row(left: Column, right: Column) -> Column:
-    a, b = F.lower(clean_text(left)), F.lower(clean_text(right))
-    return (a.isin("day", "days", "date", "dates") & b.contains("hour")) | ((a == "hours") & b.isin("", "time"))
+def names_columns(row: Column) -> Column:
+    """Does a row of cells only name its columns?  (days or dates beside hours, or hours beside time)"""
+    label, hours = (F.lower(single_spaced(row[k])) for k in (0, 1))
+    beside_hours = F.regexp_like(label, F.lit("^(day|date)s?$")) & F.contains(hours, F.lit("hour"))
+    return beside_hours | ((label == "hours") & F.regexp_like(hours, F.lit("^(time)?$")))
 
 
-def looks_like_hours_row(label: Column, hours: Column) -> Column:
-    a, b = clean_text(label), clean_text(hours)
-    return (a != "") & (b != "") & (a.rlike(DAY_HINT) | a.rlike(DATE_HINT)) & b.rlike(HOURS_HINT)
+def tells_hours(row: Column) -> Column:
+    """Does a row of cells give a day or a date, and hours beside it?"""
+    label, hours = (single_spaced(row[k]) for k in (0, 1))
+    dated = F.regexp_like(label, F.lit(f"{DAY_HINT}|{DATE_HINT}"))
+    return dated & F.regexp_like(hours, F.lit(HOURS_HINT))
 
 
-def looks_like_bot_challenge(html: Column) -> Column:
-    text = F.lower(html)
-    found = F.lit(False)
-    for word in CHALLENGE_WORDS:
-        found = found | text.contains(word)
-    return found
+def is_challenge_page(page: Column) -> Column:
+    """A page that asks for a browser instead of showing its content."""
+    return F.exists(F.array(*map(F.lit, CHALLENGE_WORDS)), lambda words: F.contains(F.lower(page), words))

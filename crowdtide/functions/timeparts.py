@@ -76,6 +76,7 @@ def time_features(ts: Column, minutes: int = config.RESAMPLE_MINUTES) -> dict[st
     return out
 
 
+# --- fixed values: labels and limits of hours, days, ratio classes and horizons ---
 def hour_block(hour: Column) -> Column:
     return (
         F.when(hour < 6, "overnight").when(hour < 12, "morning").when(hour < 17, "midday")
@@ -101,6 +102,7 @@ def horizon_bucket(hours: Column) -> Column:
         F.when(hours <= 2, "0_2h").when(hours <= 6, "3_6h").when(hours <= 12, "7_12h")
         .when(hours <= 24, "13_24h").otherwise("25h_plus")
     )
+# -----------------------------------------------------------------------------------
 
 
 def targets_for_days(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crowdtide.functions.text import (
-    NOTICE_CLOSURES, NOTICE_HOURS, clean_text, is_header_row, looks_like_bot_challenge, looks_like_hours_row, strip_html,
-)
+from crowdtide.functions.markup import elements, single_spaced, tagged_elements, visible_text
+from crowdtide.functions.text import NOTICE_CLOSURES, NOTICE_HOURS, is_challenge_page, names_columns, tells_hours
 
+HEADING_CHARS = 140     # longer headings are running text
 SCHEDULE_SCHEMA = """
     facilities ARRAY<STRUCT<facilityId: STRING, facilityName: STRING, status: STRING, sections:
         ARRAY<STRUCT<title: STRING, note: STRING, rows: ARRAY<STRUCT<label: STRING, hours: STRING>>>>>>
@@ -33,69 +33,64 @@ def schedule_rules(documents: DataFrame) -> DataFrame:
     ).select("facility_id", "section_idx", "section_title", "note", "row_idx", F.col("r.label").alias("label"), F.col("r.hours").alias("hours"))
 
 
-TABLE = r"(?is)<table[^>]*>(.*?)</table>"
-ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-CELL = r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"
-HEADING = r"(?is)<h([2-5])[^>]*>(.*?)</h\1>"
+ROWS = "array<struct<label:string,hours:string>>"
+NOTICES = (("Seasonal Notice", NOTICE_HOURS), ("Maintenance Closures", NOTICE_CLOSURES))
 
 
-def extract_schedule(pages: DataFrame) -> DataFrame:
+def _hours_rows(table):
+    """Rows of a table that give hours, as label and hours."""
+    cells = F.transform(elements(table, "tr"), lambda row: F.transform(elements(row, "td|th"), visible_text))
+    told = F.filter(cells, lambda row: (F.size(row) >= 2) & ~names_columns(row) & tells_hours(row))
+    return F.transform(told, lambda row: F.struct(row[0].alias("label"), row[1].alias("hours")))
+
+
+def _titles(marks, heading_chars: int):
+    """Usable headings among a page's headings and tables, with their places."""
+    placed = F.transform(marks, lambda mark, at: F.struct(at.alias("at"), mark.alias("mark")))
+    headings = F.filter(placed, lambda m: ~F.regexp_like(m["mark"], F.lit("(?i)^<table")))
+    titles = F.transform(headings, lambda m: F.struct(m["at"].alias("at"), visible_text(m["mark"]).alias("title")))
+    return F.filter(titles, lambda t: F.length(t["title"]).between(1, heading_chars))
+
+
+def extract_schedule(pages: DataFrame, heading_chars: int = HEADING_CHARS) -> DataFrame:
     """HTML pages -> sections with title, rows and note, plus page status and error.
 
-    Works on whole pages, row by row inside the JVM: each page is split into the text
-    before each table and the table, so a table sees the headings above it.
+    Works on whole pages, row by row inside the JVM.  Headings and tables are taken in page
+    order; a table is titled by the page's first heading that speaks of hours, if that stands
+    above it, else by the last heading above it.  Notices are looked for in the visible text.
     """
-    html = F.coalesce("html", F.lit(""))
-    tables = F.regexp_extract_all(html, F.lit(TABLE), F.lit(1))
-    before = F.split(html, r"(?is)<table[^>]*>.*?</table>")
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(CELL), F.lit(1)), strip_html)
-    rows_of = lambda table: F.transform(
-        F.filter(F.transform(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)), cells), lambda c: F.size(c) >= 2),
-        lambda c: F.struct(c[0].alias("label"), c[1].alias("hours")),
+    page = F.coalesce("html", F.lit(""))
+    marked = pages.select("page_id", tagged_elements(page, "table|h[2-5]").alias("_marks"))
+    marked = marked.withColumn("_titles", _titles(F.col("_marks"), heading_chars))
+    marked = marked.withColumn("_telling", F.try_element_at(F.filter("_titles", lambda t: F.regexp_like(F.lower(t["title"]), F.lit("hour|schedule|building"))), F.lit(1)))
+    tables = marked.select("page_id", "_titles", "_telling", F.posexplode("_marks").alias("pos", "_mark")).filter(F.regexp_like("_mark", F.lit("(?i)^<table")))
+    above = F.try_element_at(F.filter("_titles", lambda t: t["at"] < F.col("pos")), F.lit(-1))
+    title = F.when(F.col("_telling.at") < F.col("pos"), F.col("_telling.title")).otherwise(above["title"])
+    found = tables.withColumn("rows", _hours_rows(F.col("_mark"))).filter(F.size("rows") > 0).select(
+        "page_id", F.lit(0).alias("part"), "pos", F.coalesce(title, F.lit("Hours")).alias("title"), "rows", F.lit(None).cast("string").alias("note")
     )
-    usable = lambda rows: F.filter(
-        rows, lambda r: ~is_header_row(r["label"], r["hours"]) & looks_like_hours_row(r["label"], r["hours"])
-    )
-    found = pages.select("page_id", F.posexplode(tables).alias("table_idx", "table"), before.alias("_before")).withColumn(
-        "_rows", usable(rows_of(F.col("table")))
-    ).filter(F.size("_rows") > 0).withColumn(
-        "title", heading_before(F.array_join(F.slice("_before", 1, F.col("table_idx") + 1), "\n"))
-    ).select("page_id", F.lit(0).alias("part"), F.col("table_idx").alias("pos"), "title", F.col("_rows").alias("rows"), F.lit(None).cast("string").alias("note"))
-    plain = pages.filter(F.lower(html).rlike("check back later|maintenance closures at this time")).withColumn("_text", strip_html(html))
-    notices = None
-    for part, (title, pattern) in enumerate((("Seasonal Notice", NOTICE_HOURS), ("Maintenance Closures", NOTICE_CLOSURES)), 1):
-        texts = F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))
-        one = plain.select(
-            "page_id", F.lit(part).alias("part"), F.posexplode(texts).alias("pos", "note"), F.lit(title).alias("title"),
-            F.array().cast("array<struct<label:string,hours:string>>").alias("rows"),
-        ).withColumn("note", clean_text(F.col("note")))
-        notices = one if notices is None else notices.unionByName(one)
-    sections = dedupe_sections(found.unionByName(notices)).select(
+    shown = pages.select("page_id", visible_text(page).alias("_text"))
+    for part, (name, pattern) in enumerate(NOTICES, 1):
+        found = found.unionByName(shown.select(
+            "page_id", F.lit(part).alias("part"), F.posexplode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))).alias("pos", "note"),
+            F.lit(name).alias("title"), F.array().cast(ROWS).alias("rows"),
+        ))
+    sections = first_of_equal_sections(found).select(
         "page_id", F.struct("part", "pos", "title", "rows", "note").alias("section")
     ).groupBy("page_id").agg(F.sort_array(F.collect_list("section")).alias("_sections"))  # sections of one page
     ordered = F.transform("_sections", lambda s: F.struct(s["title"].alias("title"), s["rows"].alias("rows"), s["note"].alias("note")))
-    empty = F.array().cast("array<struct<title:string,rows:array<struct<label:string,hours:string>>,note:string>>")
-    return pages.select("page_id", "url", looks_like_bot_challenge(html).alias("is_challenge")).join(sections, "page_id", "left").select(
-        "page_id", "url",
-        F.when(F.col("_sections").isNotNull() & ~F.col("is_challenge"), "ok").otherwise("error").alias("status"),
+    read_well = F.col("_sections").isNotNull() & ~F.col("is_challenge")
+    empty = F.array().cast(f"array<struct<title:string,rows:{ROWS},note:string>>")
+    return pages.select("page_id", "url", is_challenge_page(page).alias("is_challenge")).join(sections, "page_id", "left").select(
+        "page_id", "url", F.when(read_well, "ok").otherwise("error").alias("status"),
         F.when(F.col("is_challenge"), "bot challenge").when(F.col("_sections").isNull(), "parsed 0 schedule sections").alias("error"),
-        F.when(F.col("_sections").isNotNull() & ~F.col("is_challenge"), ordered).otherwise(empty).alias("sections"),
-    )
-
-
-def heading_before(html_above):
-    """First heading that speaks of hours, schedule or building, else the last one."""
-    texts = F.filter(
-        F.transform(F.regexp_extract_all(html_above, F.lit(HEADING), F.lit(2)), strip_html),
-        lambda t: (t != "") & (F.length(t) <= 140),
+        F.when(read_well, ordered).otherwise(empty).alias("sections"),
     )
-    telling = F.filter(texts, lambda t: F.lower(t).rlike("hour|schedule|building"))
-    return F.coalesce(F.try_element_at(telling, F.lit(1)), F.try_element_at(texts, F.lit(-1)), F.lit("Hours"))
 
 
-def dedupe_sections(sections: DataFrame) -> DataFrame:
-    """First of the sections of a page with equal title, rows and note."""
-    same = Window.partitionBy(
-        "page_id", F.lower(clean_text(F.col("title"))), F.to_json(F.col("rows")), F.lower(clean_text(F.coalesce("note", F.lit(""))))
-    ).orderBy("part", "pos")
-    return sections.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+def first_of_equal_sections(sections: DataFrame) -> DataFrame:
+    """Sections of a page that agree in title, rows and note (spaces and case aside) are one: the first."""
+    folded = lambda name: F.lower(single_spaced(F.coalesce(name, F.lit(""))))
+    keyed = sections.withColumn("_key", F.concat_ws("\x1f", folded("title"), F.to_json("rows"), folded("note")))
+    place = Window.partitionBy("page_id", "_key").orderBy("part", "pos")
+    return keyed.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_key", "_place")

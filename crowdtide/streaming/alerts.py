@@ -24,12 +24,9 @@ def alert_batch(rules_path: str, outbox: str, live_path: str, sections: DataFram
         spark = batch.sparkSession
         columns = ["id", "is_closed", "current_capacity", "observed_at"]
         newest = latest_per_location(batch, columns)
-        try:
+        if batch_id > 0:
             known = read_last(spark, live_path, batch_id)
             newest = latest_per_location(known.unionByName(newest), columns)
-        except Exception:
-            if batch_id > 0:
-                raise
         newest.write.mode("overwrite").parquet(f"{live_path}/batch={batch_id}")
         live = spark.read.parquet(f"{live_path}/batch={batch_id}")
         rules = read_last(spark, rules_path, batch_id)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from crowdtide import config
-from crowdtide.sources.live import append_if_changed, latest_per_location
+from crowdtide.sources.live import append_if_changed, latest_per_location, stamp
 
 STATE = "last STRING"
 
@@ -40,23 +40,34 @@ def stream_change_capture(readings: DataFrame) -> DataFrame:
     return readings.groupBy("location_id").applyInPandasWithState(lambda k, p, s: run(k, p, s), schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def capture_batch(store: str, capacity: DataFrame):
-    """foreachBatch writer: append the readings of a batch that differ from the stored ones.
+def capture_batch(store: str, latest: str, capacity: DataFrame):
+    """foreachBatch writer: append every reading that differs from the one before it.
 
-    The batch form keeps only the last reading per location; it reads its own table,
-    partitioned by batch, and a repeated batch replaces what it wrote before.
+    Within a batch a location's readings are compared in arrival order, the first one with the
+    last reading of the batch before.  So the stored changes do not depend on how many readings
+    a trigger gathers.  ``latest`` keeps one row per location and batch; a batch that is run
+    again starts from the same rows and replaces what it wrote.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(store).filter(F.col("batch") < batch_id)
-            latest = latest_per_location(stored, ["last_updated"], by="batch")
-        except Exception:
-            latest = spark.createDataFrame([], "location_id BIGINT, last_updated STRING")
-        newest = latest_per_location(batch, ["is_closed", "current_capacity", "last_updated"])
-        rows, _ = append_if_changed(newest, latest, capacity, F.current_timestamp())
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        order = Window.partitionBy("location_id").orderBy("id")
+        stamped = batch.withColumn("last_updated", stamp("last_updated"))
+        if batch_id > 0:
+            known = spark.read.parquet(f"{latest}/batch={batch_id - 1}")
+        else:
+            known = spark.createDataFrame([], "location_id BIGINT, last_updated STRING")
+        before = stamped.withColumn("_before", F.lag("last_updated").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+        first, later = before.filter("_first"), before.filter("NOT _first AND last_updated <> _before")
+        caps = capacity.select("location_id", "max_capacity")
+        changed = later.join(caps, "location_id", "left").select(
+            "location_id", "is_closed", "current_capacity", "max_capacity", "last_updated", F.current_timestamp().alias("fetched_at")
+        )
+        opening, _ = append_if_changed(first, known, capacity, F.current_timestamp())
+        opening.unionByName(changed).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        newest = latest_per_location(stamped, ["last_updated"])
+        kept = known.join(newest.select("location_id"), "location_id", "left_anti").unionByName(newest)
+        kept.write.mode("overwrite").parquet(f"{latest}/batch={batch_id}")
 
     return write
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from crowdtide.streaming.alerts import alert_batch
-from crowdtide.streaming.capture import stream_change_capture, stream_staleness
+from crowdtide.streaming.capture import capture_batch, stream_change_capture, stream_staleness
 from crowdtide.streaming.resample import stream_resample
 
 SCHEMA = "id BIGINT, location_id BIGINT, is_closed BOOLEAN, current_capacity DOUBLE, last_updated STRING, observed_at TIMESTAMP"
@@ -71,3 +71,20 @@ def test_alert_fires_once(spark, tmp_path):
     assert [(r.id, r.batch) for r in sent] == [(1, 1)]
     assert "40% full (at or below your 50% alert)" in sent[0].message
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/rules/batch=2").collect()) == [2, 3]
+
+
+def test_captured_changes_do_not_depend_on_the_trigger(spark, tmp_path):
+    stamps = ["a", "a", "b", None, "", "b ", "b", "c", "a"]
+    rows = rows_at(spark, *[(i, i % 2, i, s, "2024-01-01 00:00:00") for i, s in enumerate(s for s in stamps for _ in range(2))])
+    caps = spark.createDataFrame([(0, 40), (1, 50)], "location_id BIGINT, max_capacity INT")
+    found = []
+    for name, cuts in (("one", [0, 18]), ("many", [0, 3, 4, 11, 18])):
+        write = capture_batch(f"{tmp_path}/{name}", f"{tmp_path}/{name}_latest", caps)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            batch = spark.createDataFrame(rows[a:b], SCHEMA)
+            write(batch, k)
+            write(batch, k)     # a batch that runs again changes nothing
+        stored = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        found.append(sorted((r.location_id, r.current_capacity, r.last_updated, r.max_capacity) for r in stored))
+    assert found[0] == found[1]
+    assert [r[2] for r in found[0] if r[0] == 0] == ["a", "b", "", "b", "c", "a"]

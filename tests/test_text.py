@@ -50,3 +50,13 @@ def test_keys_and_titles(spark):
         text.is_facility_wide(F.lit("Pool Hours")).alias("d"), text.is_facility_wide(F.lit("Pool maintenance closures")).alias("e"), text.is_facility_wide(F.lit("Seasonal Notice")).alias("f"),
     ).first()
     assert tuple(row) == ("basketball courts", "overall", "fitness_floors", False, True, False)
+
+
+def test_references_equal_the_standard_library(spark):
+    import html
+
+    from crowdtide.functions.markup import unescaped
+
+    texts = ["a &amp; b", "&nbsp;x", "&#8209;&#xA0;&#x1F600;", "&notit; &notin; &copy2 &ampx &unknown; &", "&#0; &#55555; &#99999999999; &#128; &#x80;&#150", "&NotEqualTilde; &fjlig;", "&&amp;&amp", "&#x;&#;"]
+    rows = frame(spark, texts).select("i", unescaped(F.col("v")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: html.unescape(t) for i, t in enumerate(texts)}
