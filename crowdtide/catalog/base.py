@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdtide.operators.clean import capacity_max, dedupe_timestamps, drop_invalid_rows, open_readings, resample_ratio
+from crowdtide.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +56,7 @@ def opened(spark, folder):
 
 
 def capacity(spark, folder):
-    return capacity_max(opened(spark, folder))
+    return cut_lineage(capacity_max(opened(spark, folder)))
 
 
 def series(spark, folder):
@@ -73,9 +74,9 @@ def locations(spark, folder):
     """One row per location that ever reported, with its facility and section."""
     loc = F.col("user_id") % 12
     section = F.when(loc % 3 == 0, "fitness floors").when(loc % 3 == 1, "basketball courts").otherwise("running track")
-    return table(spark, folder, "events").select(
+    return cut_lineage(table(spark, folder, "events").select(
         loc.alias("location_id"), (loc % 2).alias("facility_id"), section.alias("section_key")
-    ).distinct()
+    ).distinct())
 
 
 WEATHER_TYPES = {"temp_c": "view", "wind_mps": "click", "precip_mm": "purchase"}
@@ -92,7 +93,7 @@ def weather(spark, folder):
 def predictions(spark, folder):
     """y_true with the hour-of-day mean as prediction, per section as model key."""
     base = ratio(spark, folder).join(locations(spark, folder), "location_id")
-    means = base.groupBy(F.hour("bucket_ts").alias("_h")).agg(F.round(F.avg("ratio"), 6).alias("p50"))
+    means = cut_lineage(base.groupBy(F.hour("bucket_ts").alias("_h")).agg(F.round(F.avg("ratio"), 6).alias("p50")))
     return (
         base.withColumn("_h", F.hour("bucket_ts")).join(means, "_h")
         .select(

@@ -170,7 +170,7 @@ def eligible_locations(stats: DataFrame, capacity: DataFrame) -> DataFrame:
 def clean_history(readings: DataFrame) -> dict[str, DataFrame]:
     """Valid rows -> one per time -> no jumps -> thinned flat runs, with capacity."""
     valid = drop_invalid_rows(readings)
-    capacity = capacity_max(valid)
+    capacity = cut_lineage(capacity_max(valid))
     deduped = dedupe_timestamps(valid).join(capacity, "location_id").select(
         "location_id", "observed_at", "count", "max_cap"
     )

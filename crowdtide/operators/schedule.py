@@ -68,7 +68,8 @@ def schedule_resolve(rows: DataFrame, rules: DataFrame, ts: str) -> DataFrame:
     """
     day = F.to_date(ts)
     days = rows.select("facility_id", day.alias("day"))
-    resolved = resolve_days(rules, days).select("facility_id", F.col("day").alias("_day"), F.col("window").alias("_window"))
+    # Written: facilities x days, whose size the planner then knows beside the rows' history.
+    resolved = cut_lineage(resolve_days(rules, days).select("facility_id", F.col("day").alias("_day"), F.col("window").alias("_window")))
     minute = minute_of_day(F.col(ts))
     window = F.col("_window")
     flag = lambda c: F.coalesce(c, F.lit(False))
@@ -119,7 +120,7 @@ def _two_days(rules: DataFrame, days: DataFrame) -> DataFrame:
 def schedule_status(moments: DataFrame, rules: DataFrame, ts: str) -> DataFrame:
     """Open state where yesterday's overnight window may still count today."""
     keyed = moments.withColumn("_day", F.to_date(ts))
-    days = _two_days(rules, keyed.select("facility_id", F.col("_day").alias("day"))).withColumnRenamed("day", "_day")
+    days = cut_lineage(_two_days(rules, keyed.select("facility_id", F.col("_day").alias("day"))).withColumnRenamed("day", "_day"))
     minute = minute_of_day(F.col(ts))
     now_open = F.coalesce(open_at(F.col("today.window"), minute), F.lit(False))
     still_open = F.col("spills") & F.coalesce(open_at(F.col("yesterday.window"), minute), F.lit(False))
@@ -180,6 +181,7 @@ def next_open(moments: DataFrame, rules: DataFrame, ts: str, search_days: int =
     later = first.withColumn(
         "_later", F.first(F.when(F.col("starts").isNotNull(), F.struct("day", F.col("starts")[0].alias("m"))), ignorenulls=True).over(ahead)
     ).withColumnRenamed("day", "_day")
+    later = cut_lineage(later)
     minute = minute_of_day(F.col(ts))
     same_day = F.array_min(F.filter("starts", lambda s: s > minute))
     return (

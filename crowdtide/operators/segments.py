@@ -14,6 +14,7 @@ from crowdtide import config
 from crowdtide.functions.levels import clamp, finite, occupancy_weight
 from crowdtide.functions.timeparts import day_type, horizon_bucket, hour_block, occupancy_class
 from crowdtide.operators.quantiles import weighted_mean, weighted_quantiles
+from crowdtide.session import cut_lineage
 
 ALL_KINDS = ("occupancy", "horizon", "hour", "block", "day_type", "global")
 SEGMENT = ["seg_kind", "seg_key"]
@@ -167,7 +168,7 @@ def segment_profile_lookup(
     ts: str = "ts", point: str = "p50", hours_ahead: Column | None = None, points: int, points_occupancy: int | None = None,
 ) -> DataFrame:
     """Join a profile to rows by model and resolve each row's segment."""
-    mapped = profile_map(profile, keys, values, "_profile")
+    mapped = cut_lineage(profile_map(profile, keys, values, "_profile"))      # one row per model, of known size
     segment = segment_keys(ts, point, hours_ahead)
     joined = rows.join(mapped, keys, "left")
     found = {
@@ -179,7 +180,7 @@ def segment_profile_lookup(
 
 def drift_bias_lookup(rows: DataFrame, profile: DataFrame, keys: list[str], hours_ahead: Column, *, ts: str = "ts", point: str = "p50") -> DataFrame:
     """Recent bias of the first segment with enough rows, faded with the horizon."""
-    mapped = profile_map(profile, keys, ["bias"], "_drift")
+    mapped = cut_lineage(profile_map(profile, keys, ["bias"], "_drift"))
     segment = segment_keys(ts, point)
     choices = []
     for kind in LOOKUP_ORDER["drift"]:
