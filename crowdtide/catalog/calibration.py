@@ -50,6 +50,11 @@ def regime_profile(spark, d):
     return segments.regime_mae_profile(predictions(spark, d), KEYS).withColumn("mae", r6(F.col("mae")))
 
 
+@query("recent_days", "WITH " + PRED + "SELECT model_key, location_id, ts, y_true FROM preds QUALIFY ts >= max(ts) OVER (PARTITION BY model_key) - INTERVAL '14 days'")
+def recent_days(spark, d):
+    return segments.recent_days(predictions(spark, d), KEYS, config.DRIFT_DAYS).select("model_key", "location_id", "ts", "y_true")
+
+
 @query("conformal_margins", "WITH " + SEG + f""", sc AS (SELECT *, greatest(0.0, p10 - y_true, y_true - p90) AS score FROM seg)
 SELECT model_key, seg_kind, seg_key, R6(least(0.35, greatest(0.0, r)), 6) AS margin, n FROM {_wq('score', 0.8, 'sc')}
 WHERE (seg_kind = 'global' OR n >= 20) AND model_key IN (SELECT model_key FROM preds GROUP BY 1 HAVING count(*) >= 120)""")

@@ -26,7 +26,7 @@ latest AS (SELECT * FROM observations QUALIFY row_number() OVER (PARTITION BY lo
 
 @query("enrich_dimensions", "WITH " + OBS + "," + DIM + "SELECT id, o.location_id, facility_id, section_key, max_capacity FROM observations o JOIN dim d USING (location_id)")
 def enrich(spark, d):
-    return readings(spark, d).join(locations(spark, d), "location_id").select("id", "location_id", "facility_id", "section_key", "max_capacity")
+    return live.enrich_dimensions(readings(spark, d), locations(spark, d)).select("id", "location_id", "facility_id", "section_key", "max_capacity")
 
 
 @query("explode_live_feed", "SELECT event_id AS id, user_id % 12 AS location_id, event_type = 'error' AS is_closed, floor(value) AS current_capacity FROM events WHERE event_id % 3 <> 2")
@@ -265,16 +265,17 @@ def upcoming(spark, d):
 
 @query("distinct_locations", "SELECT DISTINCT user_id % 12 AS location_id FROM events")
 def distinct_locations(spark, d):
-    return readings(spark, d).select("location_id").dropDuplicates()
+    return live.distinct_locations(readings(spark, d))
 
 
 @query("union_targets", """SELECT DISTINCT t AS target_ts FROM (SELECT time_bucket(INTERVAL '15 minutes', ts) AS t FROM events UNION ALL SELECT time_bucket(INTERVAL '30 minutes', ts) FROM events)""")
 def union_targets(spark, d):
     e = table(spark, d, "events")
-    return e.select(timeparts.grid_start(F.col("ts"), 15).alias("target_ts")).union(e.select(timeparts.grid_start(F.col("ts"), 30))).distinct()
+    return timeparts.union_targets(*[e.select(timeparts.grid_start(F.col("ts"), m).alias("target_ts")) for m in (15, 30)])
 
 
-@query("targets_for_days", """SELECT day, t AS target_ts FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), generate_series(day + INTERVAL '6 hours', day + INTERVAL '23 hours 45 minutes', INTERVAL '15 minutes') s(t)""".replace(", generate_series(", " CROSS JOIN LATERAL (SELECT unnest(generate_series(").replace("INTERVAL '15 minutes') s(t)", "INTERVAL '15 minutes')) AS t) s"))
+@query("targets_for_days", """SELECT day, t AS target_ts FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+  CROSS JOIN LATERAL (SELECT unnest(generate_series(day + INTERVAL '6 hours', day + INTERVAL '23 hours 45 minutes', INTERVAL '15 minutes')) AS t) s""")
 def targets(spark, d):
     days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
     return timeparts.targets_for_days(days)

@@ -95,7 +95,7 @@ def bounds(spark, d):
 @query("trainable_category", "SELECT event_id FROM events WHERE event_type IN ('view', 'click')")
 def trainable(spark, d):
     named = table(spark, d, "events").withColumn("category_key", F.when(F.col("event_type") == "view", "fitness_floors").when(F.col("event_type") == "click", "basketball_courts").otherwise("sauna"))
-    return named.filter(F.col("category_key").isin(*config.TRAINABLE_CATEGORIES)).select("event_id")
+    return training.trainable_category(named).select("event_id")
 
 
 @query("train_and_score")

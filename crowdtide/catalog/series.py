@@ -27,8 +27,8 @@ def lag_join(spark, d):
 
 
 @query("asof_strict", "WITH " + RATIO15 + """
-SELECT r.location_id, r.bucket_ts, R6(s.count, 6) AS last_count, R6(epoch_us(r.bucket_ts - s.observed_at) / 60e6, 6) AS age_min
-FROM ratio r ASOF LEFT JOIN series s ON s.location_id = r.location_id AND s.observed_at < r.bucket_ts""".replace("epoch_us(r.bucket_ts - s.observed_at)", "(epoch_us(r.bucket_ts) - epoch_us(s.observed_at))"))
+SELECT r.location_id, r.bucket_ts, R6(s.count, 6) AS last_count, R6((epoch_us(r.bucket_ts) - epoch_us(s.observed_at)) / 60e6, 6) AS age_min
+FROM ratio r ASOF LEFT JOIN series s ON s.location_id = r.location_id AND s.observed_at < r.bucket_ts""")
 def asof_strict(spark, d):
     r = ratio(spark, d, 15).select("location_id", "bucket_ts")
     out = asof.as_of(r, series(spark, d), ["location_id"], "bucket_ts", "observed_at", ["count"], strict=True, ages=True)

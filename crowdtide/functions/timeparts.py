@@ -84,6 +84,14 @@ def hour_block(hour: Column) -> Column:
     )
 
 
+def union_targets(*targets: DataFrame, column: str = "target_ts") -> DataFrame:
+    """Target times of several grids, each once."""
+    first, *others = (t.select(column) for t in targets)
+    for more in others:
+        first = first.union(more)
+    return first.distinct()
+
+
 def day_type(ts: Column) -> Column:
     return F.when(F.weekday(ts) >= 5, "weekend").otherwise("weekday")
 

@@ -77,6 +77,13 @@ def regime_mae_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.filter(_enough(F.col("n"), config.BIAS_MIN_POINTS))
 
 
+def recent_days(rows: DataFrame, keys: list[str], days: int, ts: str = "ts") -> DataFrame:
+    """Rows of the last ``days`` days before each model's newest row; rows without a time go."""
+    newest = cut_lineage(rows.groupBy(*keys).agg(F.max(ts).alias("_newest")))      # one row per model, of known size
+    since = F.col("_newest") - F.make_dt_interval(F.lit(days))
+    return rows.join(newest, keys).filter(F.col(ts) >= since).drop("_newest")
+
+
 def conformal_margins(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted 80 % quantile of how far the truth lies outside the interval, bounded.
 

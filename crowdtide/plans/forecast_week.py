@@ -64,14 +64,16 @@ def calibrate(models: dict, spark, pairs: DataFrame) -> dict[str, DataFrame]:
         rows, "model_key STRING, holdout_rows BIGINT, holdout_mae DOUBLE, holdout_coverage_err DOUBLE, val_rows BIGINT, val_mae DOUBLE, val_coverage_err DOUBLE, missing DOUBLE, drift_streak INT, force_retrain BOOLEAN"
     )
     baseline = metrics.select("model_key", F.coalesce("holdout_mae", "val_mae").alias("baseline_mae"))
-    drift = segments.drift_summary(bounded, key, baseline)
+    lately = segments.recent_days(bounded, key, config.DRIFT_DAYS)
+    drift = segments.drift_summary(lately, key, baseline)
     actions = metrics.join(drift.select("model_key", "alert"), key, "left").select(
         "model_key", F.when(F.coalesce("alert", F.lit(False)), 1.0 + config.DRIFT_WIDEN_STEP).otherwise(1.0).alias("interval_multiplier")
     )
     owned = pairs.join(spark.createDataFrame([(k, int(i)) for k, m in models.items() for i in m.locations], "model_key STRING, location_id BIGINT"), "location_id")
     tables = {
         "interval": interval, "regime": segments.regime_mae_profile(bounded, key), "bias": segments.point_bias_profile(bounded, key),
-        "drift": segments.drift_bias_profile(bounded, key), "conformal": segments.conformal_margins(bounded, key),
+        "drift": segments.drift_bias_profile(lately, key),
+        "conformal": segments.conformal_margins(segments.recent_days(bounded, key, config.CONFORMAL_DAYS), key),
         "scores": scoring.model_scores(metrics), "widen": actions, "horizon": horizon_regression(owned, key),
     }
     return {n: cut_lineage(t) for n, t in tables.items()}

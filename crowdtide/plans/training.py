@@ -63,6 +63,11 @@ def training_set(features: DataFrame, ratio: DataFrame, balance: DataFrame, loca
     return row_weights.stabilize_weights(usable, "raw_weight", "sample_weight")
 
 
+def trainable_category(rows: DataFrame, column: str = "category_key") -> DataFrame:
+    """Rows of the categories that get a model of their own."""
+    return rows.filter(F.col(column).isin(*config.TRAINABLE_CATEGORIES))
+
+
 def one_hot_location() -> list:
     """Stages that turn the location into a one-hot vector, in id order."""
     index = StringIndexer(inputCol="location_key", outputCol="location_index", stringOrderType="alphabetAsc", handleInvalid="keep")

@@ -56,6 +56,19 @@ def append_if_changed(live: DataFrame, latest: DataFrame, capacity: DataFrame, f
     return rows, counts
 
 
+def enrich_dimensions(readings: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Readings with their location's facility and section; unknown locations drop out.
+
+    Write the dimension first (``cut_lineage``), so that its size is known and it is sent to the readings.
+    """
+    return readings.join(dimension.select("location_id", "facility_id", "section_key"), "location_id")
+
+
+def distinct_locations(readings: DataFrame) -> DataFrame:
+    """Every location that reported, once, in order."""
+    return readings.filter("location_id IS NOT NULL").select("location_id").distinct().orderBy("location_id")
+
+
 def overlay_live_on_layout(layout: DataFrame, live: DataFrame) -> DataFrame:
     """Every placed location with its reading, or NULLs; ordered by floor and name."""
     readings = live.select("location_id", "is_closed", "current_capacity", "last_updated")
