@@ -4,6 +4,10 @@ A surrogate depends on a secret key and on the entity's canonical form only, so
 surrogate in the whole corpus, however it is written, and nobody without the key can undo it.
 Surrogates are checked against each other and against all entities of the corpus: whoever collides
 is drawn again, until distinct entities have distinct surrogates and none is somebody else's.
+A format may have too few strings for that (one-letter mailboxes at one domain, surnames of four
+syllables, phone numbers of five digits).  So from the fourth draw on a surrogate grows: mailboxes
+by letters, surnames by syllables, and short phone numbers become long ones.  The other kinds have
+a fixed form of 10^9 strings or more (of which entities may use up half) and do not grow.
 
 Replacement happens where the text lies: it is split at the entities, and the gaps are joined with
 the surrogates again.  Only the distinct entities are shuffled.
@@ -21,6 +25,7 @@ from crowdtide.session import cut_lineage
 
 KEY = "surrogates-1"
 ROUNDS = 30
+KEPT = 3        # so many draws have the entity's own length
 
 # Titles by the gender they tell.
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος")
@@ -148,13 +153,15 @@ def _card(surface: Column, made: Column, digest: Column) -> Column:
     return F.concat(first, ((check + wrong) % 10).cast("int").cast("string"))
 
 
-def _email(surface: Column, digest: Column) -> Column:
-    """Same shape; the registered domain becomes a reserved one, or stays if it already is."""
+def _email(surface: Column, digest: Column, grown: Column) -> Column:
+    """Same shape, ``grown`` letters or digits longer; the registered domain becomes a reserved one, or stays if it already is."""
     tail = F.regexp_extract(surface, r"[^.@]+\.[^.@]+$", 0)
     head = F.substring(surface, F.lit(1), F.length(surface) - F.length(tail))
     name = F.regexp_extract(tail, r"^[^.]+", 0)
     kept = F.when(surface.rlike(RESERVED), tail).otherwise(F.concat(_poured(name, F.sha2(digest, 256)), F.lit(".example")))
-    return F.concat(_poured(head, digest), kept)
+    first = F.regexp_extract(head, r"^[^@]*?([\p{L}\p{Nd}])", 1)
+    more = F.repeat(F.when(first == "", F.lit("x")).otherwise(first), grown)
+    return F.concat(_poured(F.concat(more, head), digest), kept)
 
 
 def _ip(digest: Column) -> Column:
@@ -169,45 +176,52 @@ def _by_script(script: Column, made) -> Column:
     return F.when(script == "cyrillic", made("cyrillic")).when(script == "greek", made("greek")).otherwise(made("latin"))
 
 
-def _name(surface: Column, digest: Column) -> Column:
-    """Title kept; a given name of the same gender and script, and a surname of syllables."""
+def _name(surface: Column, digest: Column, grown: Column) -> Column:
+    """Title kept; a given name of the same gender and script, and a surname of four syllables and ``grown`` more."""
+    def more(words):
+        one = lambda k: F.element_at(F.array(*map(F.lit, words.split())), (F.conv(F.substring(digest, k + 13, F.lit(1)), 16, 10).cast("int") + 1))
+        return F.when(grown > 0, F.array_join(F.transform(F.sequence(F.lit(1), grown), one), "")).otherwise(F.lit(""))
+
     title = F.regexp_extract(surface, r"^\p{L}+\.? ", 0)
     rest = F.regexp_replace(surface, r"^\p{L}+\.? ", "")
     script, gender = script_of(rest), gender_of(surface)
     given = _by_script(script, lambda s: F.when(gender == "f", _pick(GIVEN["f", s], digest, 1)).otherwise(_pick(GIVEN["m", s], digest, 1)))
-    surname = _by_script(script, lambda s: F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, 10 + k) for k in range(4)])))
+    surname = _by_script(script, lambda s: F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, 10 + k) for k in range(4)], more(SYLLABLES[s]))))
     surname = F.concat(surname, F.when((script == "cyrillic") & (gender == "f"), F.lit("а")).otherwise(F.lit("")))
     made = F.when(rest.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
     return F.concat(title, F.when(F.upper(rest) == rest, F.upper(made)).otherwise(made))
 
 
-def surrogates(surfaces: Column, attempts: Column, key: str = KEY) -> Column:
+def surrogates(surfaces: Column, attempts: Column, key: str = KEY, kind: Column | None = None) -> Column:
     """For each entity (kind, surface, canon, made): its surrogate, written as the entity is.
 
-    ``attempts``: by surface, how often an entity has been drawn again.  Each step's lambda
-    variable holds what the step before worked out, so nothing is worked out twice.
+    ``attempts``: by surface, the number of an entity's draw.  ``kind``: the kind of all of them, if
+    it is known and their form does not tell it.  Each step's lambda variable holds what the step
+    before worked out, so nothing is worked out twice.
     """
-    kinds = F.transform(surfaces, lambda m: F.struct(m.alias("surface"), kind_of(m).alias("kind")))
+    kinds = F.transform(surfaces, lambda m: F.struct(m.alias("surface"), (kind_of(m) if kind is None else kind).alias("kind")))
     canons = F.transform(kinds, lambda e: F.struct(e["surface"].alias("surface"), e["kind"].alias("kind"), canonical(e["kind"], e["surface"]).alias("canon")))
 
     def digest(e):
-        attempt = F.coalesce(F.try_element_at(attempts, e["surface"]), F.lit(0)).cast("string")
-        return F.sha2(F.concat_ws("\x1f", F.lit(key), e["kind"], e["canon"], attempt), 256)
+        return F.sha2(F.concat_ws("\x1f", F.lit(key), e["kind"], e["canon"], e["attempt"].cast("string")), 256)
 
     def poured(e):
         from_third = F.concat(F.substring(e["surface"], 1, 2), _poured(F.substring(e["surface"], F.lit(3), F.length(e["surface"])), e["digest"]))
-        return F.when(e["kind"] == "iban", from_third).when(e["kind"].isin("phone", "card", "ssn", "secret"), _poured(e["surface"], e["digest"]))
+        short = (e["kind"] == "phone") & (e["grown"] > 0) & (F.length(_bare(e["surface"])) < 10)
+        whole = F.when(short, F.lit("+1 200 300 4000")).otherwise(e["surface"])
+        return F.when(e["kind"] == "iban", from_third).when(e["kind"].isin("phone", "card", "ssn", "secret"), _poured(whole, e["digest"]))
 
     def made(e):
         kind, surface, hashed = e["kind"], e["surface"], e["digest"]
         country = F.length(_bare(surface)) - 10     # a country code stays
         return (
-            F.when(kind == "email", _email(surface, hashed)).when(kind == "ip", _ip(hashed)).when(kind == "name", _name(surface, hashed))
+            F.when(kind == "email", _email(surface, hashed, e["grown"])).when(kind == "ip", _ip(hashed)).when(kind == "name", _name(surface, hashed, e["grown"]))
             .when((kind == "phone") & (country > 0), _keep_left(surface, e["poured"], country)).when(kind == "card", _card(surface, e["poured"], hashed))
             .when((kind == "secret") & surface.rlike(r"^\p{XDigit}+$"), _hex_poured(surface, hashed)).otherwise(e["poured"])
         )
 
-    hashed = F.transform(canons, lambda e: e.withField("digest", digest(e)))
+    drawn = F.transform(canons, lambda e: e.withField("attempt", F.coalesce(F.try_element_at(attempts, e["surface"]), F.lit(0))))
+    hashed = F.transform(drawn, lambda e: e.withField("digest", digest(e)).withField("grown", F.greatest(e["attempt"] - (KEPT - 1), F.lit(0))))
     with_poured = F.transform(hashed, lambda e: e.withField("poured", poured(e)))
     return F.transform(with_poured, lambda e: F.struct(e["kind"].alias("kind"), e["surface"].alias("surface"), e["canon"].alias("canon"), made(e).alias("made")))
 
@@ -239,13 +253,13 @@ def assignments(known: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, attempt and surrogate (canonical) for every entity, free of collisions."""
     def drawn(rows):
         plain = rows.withColumn("plain", _plain(F.col("kind"), F.col("canon")))
-        made = surrogates(F.array("plain"), F.create_map("plain", "attempt"), key)[0]["made"]
+        made = surrogates(F.array("plain"), F.create_map("plain", "attempt"), key, F.col("kind"))[0]["made"]
         return cut_lineage(plain.withColumn("made", made).select("kind", "canon", "attempt", canonical(F.col("kind"), F.col("made")).alias("surrogate")))
 
     known = cut_lineage(known)
     table = drawn(known.withColumn("attempt", F.lit(0)))
     taken = known.select("kind", F.col("canon").alias("surrogate"))
-    for _ in range(ROUNDS):
+    for attempt in range(1, ROUNDS + 1):
         holders = table.groupBy("kind", "surrogate").agg(F.max("attempt").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
         # of those that drew the same, one that has drawn most often stays
         shared = table.join(holders, ["kind", "surrogate"])
@@ -254,9 +268,10 @@ def assignments(known: DataFrame, key: str = KEY) -> DataFrame:
         lost = cut_lineage(lost.union(table.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "canon")).distinct())
         if lost.isEmpty():
             return table
-        again = table.join(lost.withColumn("lost", F.lit(1)), ["kind", "canon"], "left")
-        table = drawn(again.select("kind", "canon", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")))
-    raise ValueError(f"surrogates still collide after {ROUNDS} rounds: too few strings of some format")
+        # whoever has to draw in a late round draws a grown one, however seldom it has drawn before
+        again = table.join(lost.withColumn("next", F.lit(attempt)), ["kind", "canon"], "left")
+        table = drawn(again.select("kind", "canon", F.coalesce("next", "attempt").alias("attempt")))
+    raise ValueError(f"surrogates still collide after {ROUNDS} rounds: too few strings of a format that cannot grow")
 
 
 def _redrawn(docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame | None:

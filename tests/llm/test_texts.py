@@ -244,6 +244,38 @@ def test_collisions_are_drawn_again(docs_of):
     assert all(t.endswith("@a.test here") for t in new.values())
 
 
+def test_used_up_formats_grow(docs_of):
+    # sixteen one-letter surrogates for 26 mailboxes, all of which are entities themselves
+    rows = [(k, f"to {chr(97 + k)}@example.com now") for k in range(26)] + [(26, "at _@example.com"), (27, "at 7@example.com")]
+    table = pii.assignments(pii.entities(docs_of(rows))).collect()
+    made = {r["surrogate"] for r in table}
+    assert len(table) == len(made) == 28 and not made & {r["canon"] for r in table}
+    new = {r["doc_id"]: r["text"] for r in pii.replace(docs_of(rows)).collect()}
+    assert {t.split()[1] for t in new.values()} == made and all(re.fullmatch(r"\w+@example\.com", m) for m in made)
+
+
+def test_more_titled_surnames_than_four_syllables_make(docs_of):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Q" + letters[k // 17576 % 26] + letters[k // 676 % 26] + letters[k // 26 % 26] + letters[k % 26] for k in range(66_000)]
+    rows = [(k, ", ".join(f"Mr {n}" for n in names[k::600])) for k in range(600)]
+    table = pii.assignments(pii.entities(docs_of(rows))).collect()
+    made = {r["surrogate"] for r in table}
+    assert len(table) == len(made) == 66_000 and not made & {r["canon"] for r in table}
+
+
+def test_short_phone_numbers_grow_and_are_checked_as_phones(docs_of, monkeypatch):
+    rows = [(k, f"call +1 22 3{k}.") for k in range(10)]
+    table = {r["canon"]: r["surrogate"] for r in pii.assignments(pii.entities(docs_of([*rows, (10, TEXT)]))).where("kind in ('phone', 'ssn', 'iban')").collect()}
+    new = {r["doc_id"]: r["text"] for r in pii.replace(docs_of([*rows, (10, TEXT)])).collect()}
+    for k in range(10):     # what was checked is what is written
+        assert re.sub(r"\D", "", new[k]) == table[f"1223{k}"]
+    flat = re.sub(r"[ -]", "", new[10]).lower()
+    assert table["123456789"] in flat and table["de89370400440532013000"] in flat and table["0175557713"] in flat
+    monkeypatch.setattr(pii, "KEPT", 0)
+    new = [r["text"] for r in pii.replace(docs_of(rows)).collect()]
+    assert len(set(new)) == 10 and all(re.fullmatch(r"call \+\d \d{3} \d{3} \d{4}\.", t) for t in new)
+
+
 def test_no_texts_and_other_columns(docs_of):
     empty = docs_of([])
     assert pii.replace(empty).collect() == [] and pii.replace(empty).columns == [*empty.columns, "n_replaced"]
