@@ -5,9 +5,11 @@ prefixes of a conversation; where the new output goes on from the one before, th
 new turn's span.  A template that changes what it had written before rewrites history: then no
 span can be told, which is reported and not repaired.
 
-Conversations stream through a task turn by turn, sorted by turn.  A long one is rendered from a
-later turn on as soon as the template has shown that this gives the same spans, so memory and work
-stay in proportion to its length; a template that looks back further is rendered from the start.
+Conversations stream through a task turn by turn, sorted by turn.  Every prefix is rendered whole,
+as no rendering of some turns tells what a template does with later ones; work then grows with the
+square of a conversation's length.  Only for a template that the caller declares ``local`` (each
+turn is rendered by itself, as ``instruct_template`` does) is a long conversation rendered from a
+later turn on, so that memory and work stay in proportion to its length.
 
 Defined results: a null text or role counts as empty; a null conversation id is a conversation of
 its own; turns with the same number, or none, stand in order of (turn, role, text), nulls first, and
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
-WINDOW = 32       # turns that are rendered together before the start is moved on
+WINDOW = 32       # turns of a local template that are rendered together before the start is moved on
 
 # The marks of the template.
 OPEN, CLOSE, BREAK = "<s>", "</s>", "[INST]"
@@ -67,7 +69,7 @@ class Rendering:
     turns: Turns = field(default_factory=list)
     before: str = ""
     rewritten: bool = False
-    local: bool = True
+    local: bool = False
 
     def add(self, role: str, text: str) -> str | None:
         """The span of the next turn; None if history was rewritten."""
@@ -79,11 +81,10 @@ class Rendering:
         span = None if self.rewritten else now[len(last):]
         self.before = now
         if self.local and span is not None and len(self.turns) > self.window:
-            # may the rest be rendered from this turn on?  Only if it reads the same without its past
-            if self.template(self.turns[-1:]) == span:
-                self.turns, self.before = self.turns[-1:], span
-            else:
-                self.local = False
+            # the rest is rendered from this turn on, which must read the same without its past
+            if self.template(self.turns[-1:]) != span:
+                raise ValueError("a template declared local renders a turn by those before it")
+            self.turns, self.before = self.turns[-1:], span
         return span
 
 
@@ -92,7 +93,7 @@ def _text(value) -> str:
     return "" if value is None else value
 
 
-def _rendered(template, window):
+def _rendered(template, window, local):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, number, rendering, total, blank = None, 0, None, 0, True
         for batch in batches:
@@ -101,7 +102,7 @@ def _rendered(template, window):
                 conv = conv.as_py()
                 if blank or conv != current:
                     current, number, total, blank = conv, 0, 0, False
-                    rendering = Rendering(template, window)
+                    rendering = Rendering(template, window, local=local)
                 span = rendering.add(_text(role), _text(text))
                 # a span that cannot be told is null; the output so far then is the whole rendering
                 out.append((conv, number, role.as_py(), total, span, rendering.rewritten))
@@ -119,11 +120,16 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order)
 
 
-def render(turns: DataFrame, template: Callable[[Turns], str] = instruct_template, window: int = WINDOW) -> DataFrame:
-    """conv_id, n (place of the turn), role, start and text of its span, and whether history was rewritten."""
+def render(turns: DataFrame, template: Callable[[Turns], str] = instruct_template, window: int = WINDOW, local: bool | None = None) -> DataFrame:
+    """conv_id, n (place of the turn), role, start and text of its span, and whether history was rewritten.
+
+    ``local``: the template renders each turn by itself, whatever stands before or after it; only
+    ``instruct_template`` is taken for local without being declared so.
+    """
+    local = template is instruct_template if local is None else local
     kind = turns.schema["conv_id"].dataType.simpleString()
     ordered = _ordered(turns.select("conv_id", "turn", "role", "text")).select("conv_id", "role", "text")
-    return ordered.mapInArrow(_rendered(template, window), f"conv_id {kind}, n long, role string, start long, span string, rewritten boolean")
+    return ordered.mapInArrow(_rendered(template, window, local), f"conv_id {kind}, n long, role string, start long, span string, rewritten boolean")
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

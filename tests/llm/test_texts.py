@@ -68,6 +68,31 @@ def test_templates_that_rewrite_history_or_look_back(spark):
     assert [s["span"] for s in spans] == [f"[{k}]t{k}" for k in range(100)]
 
 
+def test_templates_that_rewrite_history_late(spark):
+    rows = [(1, k, "user", f"t{k};") for k in range(100)]
+    def shortened(turns):     # old turns are shortened once there are fifty
+        return "".join(t if len(turns) < 50 or k >= len(turns) - 10 else t[0] for k, (_, t) in enumerate(turns))
+    def last(turns):          # keeps the last forty turns
+        return "".join(t for _, t in turns[-40:])
+    for template, first in ((shortened, 49), (last, 40)):
+        spans = chat.render(turns_frame(spark, rows), template).orderBy("n").collect()
+        assert [s["span"] for s in spans] == [f"t{k};" if k < first else None for k in range(100)]
+        assert [s["rewritten"] for s in spans] == [k >= first for k in range(100)]
+
+
+def test_a_template_declared_local(spark):
+    rows = [(1, k, "user", f"t{k};") for k in range(100)]
+    seen = []
+    def plain(turns):
+        seen.append(len(turns))
+        return "".join(t for _, t in turns)
+    rendering = chat.Rendering(plain, local=True)
+    assert [rendering.add("user", r[3]) for r in rows] == [r[3] for r in rows] and max(seen) == chat.WINDOW + 1
+    numbered = chat.Rendering(lambda turns: "".join(f"[{k}]{t}" for k, (_, t) in enumerate(turns)), local=True)
+    with pytest.raises(ValueError, match="declared local"):
+        [numbered.add("user", r[3]) for r in rows]
+
+
 def test_no_turns(spark):
     assert chat.format_digests(turns_frame(spark, [])).collect() == []
 
