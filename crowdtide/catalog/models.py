@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide import config
-from crowdtide.catalog.base import PRED, RATIO, WEATHER, locations, predictions, query, r6, ratio, series, table, weather
+from crowdtide.catalog.base import GRID, PRED, RATIO, WEATHER, locations, predictions, query, r6, ratio, series, table, weather
 from crowdtide.catalog.schedules import rule_table
 from crowdtide.operators import calendar, row_weights, segments
 from crowdtide.operators.clean import seasonal_profiles
@@ -16,9 +19,11 @@ from crowdtide.session import cut_lineage
 GRID_FRAME = "OVER (PARTITION BY location_id ORDER BY bucket_ts RANGE BETWEEN INTERVAL '{m} minutes' PRECEDING AND INTERVAL '1 minute' PRECEDING)"
 
 
-def features(spark, d):
+def features(spark, d, targets=None):
+    """Features of all grid steps, or of ``targets`` (location_id, facility_id, bucket_ts)."""
     grid = cut_lineage(ratio(spark, d))
-    targets = grid.join(locations(spark, d), "location_id").select("location_id", "facility_id", "bucket_ts")
+    if targets is None:
+        targets = grid.join(locations(spark, d), "location_id").select("location_id", "facility_id", "bucket_ts")
     return ft.feature_table(
         targets, grid, cut_lineage(series(spark, d)), cut_lineage(seasonal_profiles(grid)), weather(spark, d), calendar.default_ranges(spark),
         calendar.default_days(spark), rule_table(spark), grid=60,
@@ -98,36 +103,43 @@ def trainable(spark, d):
     return training.trainable_category(named).select("event_id")
 
 
+def facility_models(spark, d):
+    """Features of all grid steps, the grid, and a model of every facility trained on all its rows.
+
+    The loop is over facilities, a handful; every fit is distributed.
+    """
+    rows, grid = cut_lineage(features(spark, d)), cut_lineage(ratio(spark, d))
+    balance = row_weights.location_balance_weights(grid.groupBy("location_id").agg(F.count("*").alias("samples")))
+    models = {}
+    for facility, places in sorted(rows.groupBy("facility_id").agg(F.count_distinct("location_id")).collect()):
+        sets = cut_lineage(training.training_set(rows.filter(F.col("facility_id") == facility), grid, balance, places))
+        models[facility] = training.train_p50(sets, f"{facility}__all", training.TreeParams())
+    return rows, grid, models
+
+
 @query("train_and_score")
 def train_and_score(spark, d):
-    """A small model of one facility, trained on all its rows, with its validation interval."""
-    rows = cut_lineage(features(spark, d))
-    grid = ratio(spark, d)
-    counts = grid.groupBy("location_id").agg(F.count("*").alias("samples"))
-    sets = cut_lineage(training.training_set(rows.filter("facility_id = 0"), grid, row_weights.location_balance_weights(counts), 6))
-    model = training.train_p50(sets, "0__all", training.TreeParams(rounds=3, depth=3, bins=32))
+    """A model of each facility, trained on all its rows, with its validation interval."""
     from crowdtide.plans.scoring import score
 
-    return score(rows.filter("facility_id = 0"), model, model.metrics["profile"]).select("location_id", "ts", "p10", "p50", "p90")
+    rows, _, models = facility_models(spark, d)
+    parts = [score(rows.filter(F.col("facility_id") == f), m, m.metrics["profile"]) for f, m in models.items()]
+    return reduce(DataFrame.unionByName, parts).select("location_id", "ts", "p10", "p50", "p90")
 
 
 @query("recursive_score")
 def recursive(spark, d):
-    """Two days of dependent steps per location with a small model."""
+    """The week after the last grid step in dependent steps per location, by its facility's model."""
+    from crowdtide.plans.forecast_week import location_targets, week_targets
     from crowdtide.plans.scoring import recursive_score
 
-    rows = cut_lineage(features(spark, d))
-    grid = cut_lineage(ratio(spark, d))
-    counts = grid.groupBy("location_id").agg(F.count("*").alias("samples"))
-    sets = cut_lineage(training.training_set(rows.filter("facility_id = 0"), grid, row_weights.location_balance_weights(counts), 6))
-    limits = ft.collect_limits(sets)
-    fitted = training.fit_trees(ft.apply_limits(sets, limits), training.TreeParams(rounds=3, depth=3, bins=32))
-    places = [r[0] for r in sets.select("location_id").distinct().orderBy("location_id").collect()]  # a facility's locations
-    model = training.TrainedModel("0__all", fitted, limits, 3, places)
-    start = F.lit("2024-01-29").cast("timestamp_ntz")
-    ahead = rows.filter((F.col("facility_id") == 0) & (F.col("bucket_ts") >= start))
-    known = grid.filter(F.col("bucket_ts") < start)
-    return recursive_score(ahead, known, ft.profile_arrays(seasonal_profiles(known)), model, grid=60)
+    _, grid, models = facility_models(spark, d)
+    places = locations(spark, d).select("location_id", "facility_id")
+    end = F.lit(grid.agg(F.max("bucket_ts")).first()[0]).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(GRID))
+    targets = location_targets(places, week_targets(places, end, None, step=GRID)).withColumnRenamed("target_ts", "bucket_ts").filter(F.col("bucket_ts") >= end)
+    ahead = cut_lineage(features(spark, d, cut_lineage(targets.select("location_id", "facility_id", "bucket_ts"))))
+    weeks = cut_lineage(ft.profile_arrays(seasonal_profiles(grid)))
+    return reduce(DataFrame.unionByName, [recursive_score(ahead.filter(F.col("facility_id") == f), grid, weeks, m, grid=GRID) for f, m in models.items()])
 
 
 @query("estimate_locations")

@@ -76,6 +76,22 @@ def test_recursion_without_gaps_equals_plain_trees(spark, rows, model):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def test_registered_models_leave_no_facility_out(spark, monkeypatch):
+    """Every grid step is scored, and every location gets the whole week after the last step."""
+    asked, train = [], training.train_p50
+    monkeypatch.setattr(training, "train_p50", lambda sets, key, params: asked.append((key, params)) or train(sets, key, PARAMS))
+    built = catalog.facility_models(spark, FOLDER)
+    assert asked == [("0__all", training.TreeParams()), ("1__all", training.TreeParams())]
+    monkeypatch.setattr(catalog, "facility_models", lambda *_: built)
+    grid = built[1]
+    scored = catalog.train_and_score(spark, FOLDER)
+    assert scored.count() == grid.count() and scored.select("location_id", "ts").exceptAll(grid.select("location_id", "bucket_ts")).isEmpty()
+    ahead = catalog.recursive(spark, FOLDER).groupBy("location_id").agg(F.count("*").alias("n"), F.min("bucket_ts").alias("first"), F.countDistinct(F.to_date("bucket_ts")).alias("days")).collect()
+    assert {r.location_id for r in ahead} == {r[0] for r in grid.select("location_id").distinct().collect()}
+    last = grid.agg(F.max("bucket_ts")).first()[0]
+    assert len({r.n for r in ahead}) == 1 and all(r.days == 7 and r.first > last for r in ahead)
+
+
 def test_ablation_ranks_by_loss(rows, model):
     ranked = training.feature_ablation(model, rows).collect()
     assert {r.feature_group for r in ranked} == {"time_calendar", "lags_trends_sensor", "weather", "onehot_location"}
