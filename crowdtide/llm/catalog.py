@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdtide.llm import bpe, chat, exact_dedup, html_crf, line_dedup, ngram_join, packing, pii, quality_model, quality_rules
+from crowdtide.llm import bpe, chat, exact_dedup, html_crf, lexical_search, line_dedup, ngram_join, packing, pii, quality_model, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def query(name: str, sql: str | None = None):
@@ -161,5 +162,26 @@ def op10_quality_model(spark, folder):
     return quality_model.score(docs, quality_model.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op13_lexical_search", rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS t FROM documents),
+n AS (SELECT row, doc_id, count(*) AS n FROM d GROUP BY 1, 2),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+q AS (
+  SELECT item_id, t, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY 1, 2),
+tf AS (SELECT row, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+c AS (
+  SELECT row, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) AS part
+  FROM tf JOIN w USING (t) JOIN n USING (row), total),
+s AS (SELECT item_id, row, doc_id, sum(part * repeats)::BIGINT AS score FROM c JOIN q USING (t) GROUP BY 1, 2, 3)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""")
+def op13_lexical_search(spark, folder):
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
