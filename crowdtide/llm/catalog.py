@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdtide.llm import bpe, chat, exact_dedup, html_crf, lexical_search, line_dedup, ngram_join, packing, pii, quality_model, quality_rules
+from crowdtide.llm import bpe, chat, credential_links, exact_dedup, html_crf, lexical_search, line_dedup, ngram_join, packing, pii, quality_model, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +162,50 @@ def op10_quality_model(spark, folder):
     return quality_model.score(docs, quality_model.fit(docs, table(spark, folder, "labels")))
 
 
+def _scan(kind: str, pattern: str, starts: str) -> str:
+    """All pieces of a text, matches and what lies between them, in order; ``starts``: characters a match can begin with."""
+    whole = pattern.replace("'", "''")
+    return f"""SELECT row, '{kind}' AS kind, unnest(p) AS piece, generate_subscripts(p, 1) AS pos, regexp_full_match(unnest(p), '{whole}') AS hit,
+           regexp_extract(unnest(p), '{whole}', {2 if kind in ("assign", "id") else 0}) AS measured
+    FROM (SELECT row, regexp_extract_all(text, '(?:{whole})|[^{starts}]+|(?s:.)') AS p FROM d)"""
+
+
+_SCANS = " UNION ALL ".join([
+    _scan("assign", credential_links.ASSIGN, "PpSsTtAa"), _scan("access", credential_links.ACCESS, "A"), _scan("hex", credential_links.HEX, "0-9a-f"),
+    _scan("id", credential_links.IDENTIFIER, "AaCcKkUuLl"), _scan("value", credential_links.VALUE, "A-Za-z0-9+/_-"),
+    _scan("endpoint", credential_links.ENDPOINT, "hfwslarmpj"),
+])
+_LEAST = " ".join(f"WHEN '{k}' THEN {n}" for k, n in credential_links.LEAST.items())
+_NEAR = f"x.row = p.row AND x.par = p.par AND x.start < p.stop + {credential_links.REACH} AND x.stop > p.start - {credential_links.REACH}"
+
+
+@query("op12_credential_links", f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+placed AS (
+  SELECT *, (sum(length(piece)) OVER (PARTITION BY row, kind ORDER BY pos))::BIGINT AS stop FROM ({_SCANS})),
+part AS (
+  SELECT row, kind, list_position({list(credential_links.KINDS)}, kind) AS place, stop - length(piece) AS start, stop
+  FROM placed WHERE hit AND length(measured) >= CASE kind {_LEAST} END AND (kind <> 'value' OR
+    (regexp_matches(piece, '[a-z]') AND regexp_matches(piece, '[A-Z]') AND regexp_matches(piece, '[0-9]')))),
+p AS (
+  SELECT p.*, length(left(text, start)) - length(replace(left(text, start), chr(10) || chr(10), chr(10))) AS par FROM part p JOIN d USING (row)
+  WHERE kind <> 'value' OR NOT EXISTS (
+    SELECT 1 FROM part x WHERE x.row = p.row AND x.kind <> 'value' AND x.start < p.stop AND x.stop > p.start)),
+f AS (
+  SELECT p.* FROM p WHERE kind IN ('assign', 'access', 'hex')
+    OR (kind <> 'value' AND EXISTS (SELECT 1 FROM p x WHERE {_NEAR} AND x.kind IN ('assign', 'hex', 'value'))
+        OR kind = 'value') AND (kind = 'id' OR EXISTS (SELECT 1 FROM p x WHERE {_NEAR} AND x.kind IN ('access', 'id'))))
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (kind IN ('assign', 'access', 'hex')), ''))
+         AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f USING (row) GROUP BY row
+""")
+def op12_credential_links(spark, folder):
+    return credential_links.finding_digests(table(spark, folder, "documents"))
+
+
 @query("op13_lexical_search", rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS t FROM documents),
 n AS (SELECT row, doc_id, count(*) AS n FROM d GROUP BY 1, 2),
