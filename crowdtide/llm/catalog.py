@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdtide.llm import bpe, chat, credential_links, exact_dedup, html_crf, lexical_search, line_dedup, ngram_join, packing, pii, quality_model, quality_rules
+from crowdtide.llm import (
+    bpe, chat, credential_links, exact_dedup, html_crf, lexical_search, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, spelling_variants,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +164,38 @@ def op10_quality_model(spark, folder):
     return quality_model.score(docs, quality_model.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE tbl AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (
+  SELECT run, n, xor(list_reduce([4294967295] || flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, tbl),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near FROM near GROUP BY 1),
+form AS (SELECT word, other AS form, m AS form_n FROM near WHERE TRUE QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1 AND m >= 10 * n),
+walk AS (
+  SELECT word, form AS last, 1 AS step FROM form UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN form f ON f.word = w.last)
+SELECT word, form, coalesce((SELECT arg_max(last, step) FROM walk WHERE walk.word = words.word), word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN form USING (word)
+""")
+def op11_spelling_variants(spark, folder):
+    words = spelling_variants.word_counts(table(spark, folder, "documents"), spelling_variants.typing_noise)
+    return spelling_variants.variant_forms(words)
+
+
 def _scan(kind: str, pattern: str, starts: str) -> str:
     """All pieces of a text, matches and what lies between them, in order; ``starts``: characters a match can begin with."""
     whole = pattern.replace("'", "''")
