@@ -134,7 +134,16 @@ def merged(spark, d):
     return bands.merge_adjacent_bands(two, SERIES).select("group_key", "day", "start", "end", "level")
 
 
-@query("bridge_bands_until_stable")
+BRIDGED = "[CASE WHEN i > 1 AND i < len(b) AND b[i - 1].l = b[i + 1].l AND b[i].l <> b[i - 1].l AND epoch(b[i].e) - epoch(b[i].s) <= 5400 AND abs(epoch(b[i].s) - epoch(b[i - 1].e)) <= 60 AND abs(epoch(b[i + 1].s) - epoch(b[i].e)) <= 60 THEN {'s': b[i].s, 'e': b[i].e, 'l': b[i - 1].l} ELSE b[i] END FOR i IN range(1, len(b) + 1)]"
+MERGED = "list_reduce(list_transform({bands}, lambda x: [x]), lambda d, x: CASE WHEN d[-1].l = x[1].l AND abs(epoch(x[1].s) - epoch(d[-1].e)) <= 60 THEN list_concat(d[:-2], [{{'s': d[-1].s, 'e': x[1].e, 'l': x[1].l}}]) ELSE list_concat(d, x) END)"
+
+
+@query("bridge_bands_until_stable", "WITH RECURSIVE " + POINTS.strip().removeprefix("WITH") + """,
+db AS (SELECT group_key, day, list({'s': s, 'e': l + step * INTERVAL '1 minute', 'l': level} ORDER BY s) AS b FROM runs GROUP BY 1, 2),
+walk AS (SELECT group_key, day, 0 AS step, """ + MERGED.format(bands="b") + """ AS b FROM db
+  UNION ALL SELECT group_key, day, step, n FROM (SELECT group_key, day, step + 1 AS step, b, """ + MERGED.format(bands=BRIDGED) + """ AS n FROM walk) WHERE n <> b),
+ends AS (SELECT group_key, day, unnest(arg_max(b, step)) AS x FROM walk GROUP BY 1, 2)
+SELECT group_key, day, x.s AS start, x.e AS "end", x.l AS level FROM ends""")
 def bridged(spark, d):
     return bands.bridge_bands_until_stable(day_bands(spark, d), SERIES).select("group_key", "day", "start", "end", "level")
 

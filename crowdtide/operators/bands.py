@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crowdtide import config
 from crowdtide.functions.levels import clamp, crowd_level
 from crowdtide.functions.timeparts import shift
-from crowdtide.session import cut_lineage
 
 MINUTE_S = 60
 
@@ -138,32 +138,49 @@ def merge_adjacent_bands(bands: DataFrame, keys: list[str], tolerance_s: int = 6
     )
 
 
+def _merged(bands: Column, tolerance_s: int, kind: T.ArrayType) -> Column:
+    """Touching bands of one level of a day joined; ``bands`` is in order of start."""
+    def join(done, band):
+        last = F.get(done, F.size(done) - 1)
+        touches = (last["level"] == band["level"]) & (F.abs(_seconds(band["start"]) - _seconds(last["end"])) <= tolerance_s)
+        longer = F.struct(last["start"].alias("start"), band["end"].alias("end"), last["level"].alias("level"))
+        return F.when(F.coalesce(touches, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(band)))
+
+    return F.aggregate(bands, F.array().cast(kind), join)
+
+
+def _bridged(bands: Column, bridge_s: int, tolerance_s: int) -> Column:
+    """Short bands between two equal neighbours that touch them take the neighbours' level, all at once."""
+    def relabel(band, place):
+        before, after = F.get(bands, place - 1), F.get(bands, place + 1)
+        short = (
+            (before["level"] == after["level"]) & (band["level"] != before["level"])
+            & (F.abs(_seconds(band["start"]) - _seconds(before["end"])) <= tolerance_s)
+            & (F.abs(_seconds(after["start"]) - _seconds(band["end"])) <= tolerance_s)
+            & (_seconds(band["end"]) - _seconds(band["start"]) <= bridge_s)
+        )
+        level = F.when(F.coalesce(short, F.lit(False)), before["level"]).otherwise(band["level"])
+        return F.struct(band["start"].alias("start"), band["end"].alias("end"), level.alias("level"))
+
+    return F.transform(bands, relabel)
+
+
 def bridge_bands_until_stable(
     bands: DataFrame, keys: list[str], *, bridge_minutes: int = config.BRIDGE_MINUTES, tolerance_s: int = 60
 ) -> DataFrame:
     """Bridge and merge until nothing changes.
 
-    Every round shortens each day that still changes, and a day has few bands, so the
-    number of rounds is bounded by the bands of a day.  A round reads a written
-    table.
+    A day's bands are one short array.  A round that changes anything takes two bands away
+    from it, so half as many rounds as bands reach the fixpoint, whatever the bands are;
+    rounds after it change nothing.  Everything is one fold per day, and no job runs before
+    the result is asked for.
     """
-    order = Window.partitionBy(*keys).orderBy("start")
-    s, e = _seconds(F.col("start")), _seconds(F.col("end"))
-    bridged = F.coalesce(
-        (F.lag("level").over(order) == F.lead("level").over(order))
-        & (F.col("level") != F.lag("level").over(order))
-        & (F.abs(s - F.lag(e).over(order)) <= tolerance_s)
-        & (F.abs(F.lead(s).over(order) - e) <= tolerance_s)
-        & (e - s <= bridge_minutes * MINUTE_S),
-        F.lit(False),
-    )
-    current = cut_lineage(merge_adjacent_bands(bands, keys, tolerance_s))
-    while True:
-        marked = current.withColumn("_bridged", bridged).withColumn("_from", F.lag("level").over(order))
-        if marked.filter("_bridged").isEmpty():
-            return current
-        moved = marked.withColumn("level", F.when(F.col("_bridged"), F.col("_from")).otherwise(F.col("level")))
-        current = cut_lineage(merge_adjacent_bands(moved.drop("_bridged", "_from"), keys, tolerance_s))
+    day = bands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "level"))).alias("_bands"))
+    kind = day.schema["_bands"].dataType
+    # a round per element: the merge before the first one, then bridging and merging
+    rounds = F.sequence(F.lit(0), F.floor(F.size("_bands") / 2).cast("int"))
+    step = lambda held, k: _merged(F.when(k > 0, _bridged(held, bridge_minutes * MINUTE_S, tolerance_s)).otherwise(held), tolerance_s, kind)
+    return day.select(*keys, F.inline(F.aggregate(rounds, F.col("_bands"), step)))
 
 
 def band_at_midpoint(slots: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide import config
 from crowdtide.functions.levels import clamp, finite
 from crowdtide.functions.timeparts import epoch_micros, grid_start
-from crowdtide.operators.chunks import CHUNK, DAY, MINUTE, US, number_islands, previous_row
-from crowdtide.operators.kept_rows import keep_chained
+from crowdtide.operators.chunks import MINUTE, number_islands, previous_row
+from crowdtide.operators.kept_rows import keep_chained, keep_spaced
 from crowdtide.session import cut_lineage
 
 
@@ -57,22 +57,11 @@ def drop_impossible_jumps(series: DataFrame) -> DataFrame:
     Needs ``location_id, observed_at, count, max_cap`` with unique times.
     """
     gap = config.JUMP_MAX_GAP_MIN * MINUTE
-    share = config.JUMP_SHARE
 
-    def accept(gaps, last, later):
-        return (gaps > gap) | (abs(later[:, 0] - last[0]) <= last[1] * share)
+    def accepts(last, row):
+        return (row["us"] - last["us"] > gap) | (F.abs(row["count"] - last["count"]) <= last["max_cap"] * F.lit(config.JUMP_SHARE))
 
-    def contested(haloed):
-        frame = Window.partitionBy("location_id", CHUNK).orderBy(US).rangeBetween(-gap, -1)
-        limit = F.col("max_cap") * F.lit(share)
-        return F.coalesce(
-            F.greatest(F.col("count") - F.min("count").over(frame), F.max("count").over(frame) - F.col("count")) > limit,
-            F.lit(False),
-        )
-
-    return keep_chained(
-        series, ["location_id"], "observed_at", ["count", "max_cap"], accept, gap, contested=contested
-    )
+    return keep_chained(series, ["location_id"], "observed_at", ["count", "max_cap"], accepts, gap)
 
 
 def flat_runs(series: DataFrame) -> DataFrame:
@@ -110,15 +99,8 @@ def thin_flatlines(series: DataFrame) -> DataFrame:
     marked = runs.join(
         stuck_runs(runs).select("location_id", "run", F.lit(True).alias("_stuck")), ["location_id", "run"], "left"
     )
-    keep = config.FLAT_KEEP_MIN * MINUTE
-
-    def accept(gaps, last, later):
-        return gaps >= keep
-
-    # Rows of a run are at most FLAT_MAX_GAP_MIN apart, which bounds the look-back.
-    thinned = keep_chained(
-        marked.filter("_stuck").drop("_stuck"), ["location_id", "run"], "observed_at", ["count"], accept,
-        keep + config.FLAT_MAX_GAP_MIN * MINUTE,
+    thinned = keep_spaced(
+        marked.filter("_stuck").drop("_stuck"), ["location_id", "run"], "observed_at", config.FLAT_KEEP_MIN * MINUTE, config.FLAT_MAX_GAP_MIN * MINUTE
     )
     return marked.filter(F.col("_stuck").isNull()).select(*series.columns).unionByName(thinned.select(*series.columns))
 

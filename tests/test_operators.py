@@ -47,6 +47,39 @@ def test_two_chains_that_never_meet(spark):
     assert [tuple(r) for r in got] == brute_jumps(rows)
 
 
+def test_jumps_in_dense_chunks(spark):
+    """More rows in a chunk than one array holds, values of several levels, and gaps longer than the look-back."""
+    rng, rows, second = random.Random(5), [], 0
+    for k in range(6000):
+        second += rng.choice((3, 10, 40)) if k % 900 else 9000
+        rows.append((k % 2, T0 + dt.timedelta(seconds=second), float(rng.choice((0, 30, 70, 140, 141, 260))), 100))
+    got = clean.drop_impossible_jumps(spark.createDataFrame(rows, SERIES)).orderBy("observed_at").collect()
+    want = sorted((r for k in (0, 1) for r in brute_jumps([r for r in rows if r[0] == k])), key=lambda r: r[1])
+    assert [tuple(r) for r in got] == want
+
+
+def test_filters_use_no_python(spark):
+    series = spark.createDataFrame([(1, at(0), 1.0, 100)], SERIES)
+    for kept in (clean.drop_impossible_jumps(series), clean.thin_flatlines(series)):
+        plan = kept._jdf.queryExecution().toString()
+        assert "Pandas" not in plan and "Arrow" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("steps", [(15,), (1, 2, 19), (20,), (7, 13, 20)])
+def test_flatlines_of_any_density(spark, steps):
+    rng, rows, minute = random.Random(len(steps)), [], 355
+    for _ in range(900):
+        minute += rng.choice(steps)
+        rows.append((1, at(minute), 40.0, 100))
+    want, last = [], None
+    for r in rows:
+        if last is None or (r[1] - last).total_seconds() >= 3600:
+            want.append(r)
+            last = r[1]
+    got = clean.thin_flatlines(spark.createDataFrame(rows, SERIES)).orderBy("observed_at").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_flatlines_are_thinned(spark):
     stuck = [(1, at(15 * i), 40.0, 100) for i in range(200)]
     empty = [(2, at(15 * i), 1.0, 100) for i in range(40)]
@@ -87,6 +120,38 @@ def test_quantiles_against_brute_force(spark):
             assert abs(weighted[k][name] - brute_weighted(mine, q)) < 1e-6
 
 
+@pytest.mark.parametrize("bin_rows", [3, 40])
+def test_quantiles_of_values_that_hardly_differ(spark, bin_rows):
+    """All values within 0.1 % of each other in one group without a key, ordered a few rows at a time."""
+    rng = random.Random(8)
+    pairs = [(1000.0 + rng.choice((0.0, rng.random(), 0.5)), rng.choice((1.0, 2.0, 0.5))) for _ in range(2000)]
+    pairs += [(0.0, 1.0), (-1e-9, 2.0), (1e-300, 1.0), (5e-5, 1.0), (-7.0, 0.25)]
+    df = spark.createDataFrame(pairs, "x DOUBLE, w DOUBLE")
+    qs = {"a": 0.0, "b": 0.001, "c": 0.37, "d": 0.5, "e": 0.9995, "f": 1.0}
+    plain = quantiles.quantiles(df, [], "x", qs, bin_rows).first()
+    weighted = quantiles.weighted_quantiles(df, [], "x", "w", qs, bin_rows).first()
+    mine = sorted(pairs)
+    assert (plain["n"], weighted["n"]) == (len(mine), len(mine))
+    for name, q in qs.items():
+        rank = (len(mine) - 1) * q
+        low, high = mine[math.floor(rank)][0], mine[math.ceil(rank)][0]
+        assert abs(plain[name] - (low + (high - low) * (rank - math.floor(rank)))) < 1e-9
+        assert abs(weighted[name] - brute_weighted(mine, q)) < 1e-6
+
+
+def test_no_bin_is_left_above_the_bound(spark):
+    df = spark.range(20_000).select((F.lit(5.0) + F.col("id") * 1e-7).alias("x"), (F.col("id") % 3).alias("k"))
+    asked = []
+    whole = quantiles._too_large
+    try:
+        quantiles._too_large = lambda chosen, limit: asked.append(chosen.agg(F.max("_bin_n")).first()[0]) or whole(chosen, limit)
+        got = {r["k"]: r["m"] for r in quantiles.quantiles(df, ["k"], "x", {"m": 0.5}, 50).collect()}
+    finally:
+        quantiles._too_large = whole
+    assert asked[0] > 3000 and asked[-1] <= 50
+    assert all(abs(got[k] - (5.0 + (9999 + (k - 1)) * 1e-7)) < 1e-6 for k in got)
+
+
 def test_thresholds_stay_apart(spark):
     base = spark.createDataFrame([("a", 99.6, 99.8, 100)], "g STRING, low_ceiling DOUBLE, peak_floor DOUBLE, capacity INT")
     row = crowd.occupancy_thresholds(base).first()
@@ -118,7 +183,7 @@ def brute_stable(labels, step=30):
         runs = join(new)
 
 
-@pytest.mark.parametrize("labels", ["LLMPMLL", "LLMMMLL", "LLMMMML", "LMLPLMPPPPLM", "MLMLMLMLPPPPML"])
+@pytest.mark.parametrize("labels", ["LLMPMLL", "LLMMMLL", "LLMMMML", "LMLPLMPPPPLM", "MLMLMLMLPPPPML", "L", "LM", "LMPLMPLMPMLPLMLPMLLLLPMPMPLMLMPMLPMLPLMLMPPMLLMP"])
 def test_bands_bridge_until_stable(spark, labels):
     got = bands.bridge_bands_until_stable(band_rows(spark, labels), ["k"]).orderBy("start").collect()
     assert [(r.level, int((r.end - r.start).total_seconds() / 1800)) for r in got] == brute_stable(labels)
