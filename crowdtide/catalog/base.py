@@ -55,8 +55,19 @@ def opened(spark, folder):
     return drop_invalid_rows(open_readings(readings(spark, folder)))
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A small table that several queries join, written once for a session and an input folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut_lineage(build())
+    return _WRITTEN[key]
+
+
 def capacity(spark, folder):
-    return cut_lineage(capacity_max(opened(spark, folder)))
+    return once(spark, folder, "capacity", lambda: capacity_max(opened(spark, folder)))
 
 
 def series(spark, folder):
@@ -74,7 +85,7 @@ def locations(spark, folder):
     """One row per location that ever reported, with its facility and section."""
     loc = F.col("user_id") % 12
     section = F.when(loc % 3 == 0, "fitness floors").when(loc % 3 == 1, "basketball courts").otherwise("running track")
-    return cut_lineage(table(spark, folder, "events").select(
+    return once(spark, folder, "locations", lambda: table(spark, folder, "events").select(
         loc.alias("location_id"), (loc % 2).alias("facility_id"), section.alias("section_key")
     ).distinct())
 
@@ -93,7 +104,7 @@ def weather(spark, folder):
 def predictions(spark, folder):
     """y_true with the hour-of-day mean as prediction, per section as model key."""
     base = ratio(spark, folder).join(locations(spark, folder), "location_id")
-    means = cut_lineage(base.groupBy(F.hour("bucket_ts").alias("_h")).agg(F.round(F.avg("ratio"), 6).alias("p50")))
+    means = once(spark, folder, "hourly_means", lambda: base.groupBy(F.hour("bucket_ts").alias("_h")).agg(F.round(F.avg("ratio"), 6).alias("p50")))
     return (
         base.withColumn("_h", F.hour("bucket_ts")).join(means, "_h")
         .select(

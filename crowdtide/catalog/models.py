@@ -103,18 +103,25 @@ def trainable(spark, d):
     return training.trainable_category(named).select("event_id")
 
 
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
 def facility_models(spark, d):
     """Features of all grid steps, the grid, and a model of every facility trained on all its rows.
 
     The loop is over facilities, a handful; every fit is distributed.
     """
+    key = (spark.sparkContext.applicationId, d)
+    if key in _MODELS:      # two queries use the same models
+        return _MODELS[key]
     rows, grid = cut_lineage(features(spark, d)), cut_lineage(ratio(spark, d))
     balance = row_weights.location_balance_weights(grid.groupBy("location_id").agg(F.count("*").alias("samples")))
     models = {}
     for facility, places in sorted(rows.groupBy("facility_id").agg(F.count_distinct("location_id")).collect()):
         sets = cut_lineage(training.training_set(rows.filter(F.col("facility_id") == facility), grid, balance, places))
         models[facility] = training.train_p50(sets, f"{facility}__all", training.TreeParams())
-    return rows, grid, models
+    _MODELS[key] = rows, grid, models
+    return _MODELS[key]
 
 
 @query("train_and_score")

@@ -35,6 +35,7 @@ MIN_TRAIN_ROWS = 300
 TRAIN_SHARE = 0.8
 HOLDOUT_SHARE = 0.12
 HOLDOUT_MIN_ROWS = 120
+TRAIN_WORKERS = 2
 TRAINABLE_CATEGORIES = ("fitness_floors", "basketball_courts")
 MISSING_MIN_ROWS = 240
 MISSING_MAX_ALL = 0.45
@@ -54,6 +55,7 @@ BOOST_BINS = 256
 TUNE_MIN_ROWS = 1200
 TUNE_FOLDS = 3
 TUNE_MAX_CANDIDATES = 16
+TUNE_SURVIVORS = 3         # one candidate in so many goes on to the next rung
 TUNE_ROUNDS = 250
 TUNE_SEED = 7
 TUNE_COVERAGE_WEIGHT = 0.2
@@ -121,6 +123,7 @@ SPIKE_CAP_MULTIPLIER = 1.35
 
 # -- governance ---------------------------------------------------------------------------
 RETRAIN_HOURS = 24
+CHAMPION_RECENT_DAYS = 14
 CHAMPION_MIN_ROWS = 240
 CHAMPION_MIN_MAE_GAIN = 0.0015
 CHAMPION_MAX_RMSE_LOSS = 0.01

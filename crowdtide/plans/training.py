@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 from dataclasses import dataclass, field, replace
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide import config
@@ -17,6 +18,7 @@ from crowdtide.functions.levels import feature_quality_weight, missing_share, oc
 from crowdtide.operators import row_weights, segments
 from crowdtide.operators.quantiles import weighted_mean, weighted_quantiles
 from crowdtide.plans.feature_table import FEATURE_GROUPS, FEATURES, apply_limits, collect_limits, missingness_summary, sanitize_features, supervised_rows
+from crowdtide.plans.pool import run_all
 from crowdtide.session import cut_lineage
 
 
@@ -43,24 +45,27 @@ class TrainedModel:
     metrics: dict = field(default_factory=dict)
 
 
-def training_set(features: DataFrame, ratio: DataFrame, balance: DataFrame, locations: int = 0) -> DataFrame:
+def training_set(features: DataFrame, ratio: DataFrame, balance: DataFrame, locations: int | Column = 0, keys: list[str] | None = None) -> DataFrame:
     """Features with label, row weight and sample weight.
 
     Row weight = sensor x feature quality x schedule transition x location balance;
-    sample weight = that x recency x occupancy, stabilised.
+    sample weight = that x recency x occupancy, stabilised.  ``locations`` is the number of
+    one-hot columns.  With ``keys`` the features hold several units' rows, ``balance`` has a
+    weight per unit and location, and recency and stabilising are per unit.
     """
+    keys = keys or []
     labelled = features.join(ratio.select("location_id", "bucket_ts", F.col("ratio").alias("label")), ["location_id", "bucket_ts"])
-    share = missing_share(list(FEATURES)) * (len(FEATURES) / float(len(FEATURES) + locations))
-    weighed = labelled.join(balance.select("location_id", "balance"), "location_id", "left").withColumns({
+    share = missing_share(list(FEATURES)) * (len(FEATURES) / (F.lit(float(len(FEATURES))) + locations))
+    weighed = labelled.join(balance.select(*keys, "location_id", "balance"), [*keys, "location_id"], "left").withColumns({
         "sensor": sensor_weight(F.col("flat_steps"), F.col("missing_recent"), F.col("minutes_since_raw")),
         "quality": feature_quality_weight(share), "missing": share,
         "transition": transition_weight(F.col("phase_near_open"), F.col("phase_near_close")),
         "balance": F.coalesce("balance", F.lit(1.0)),
     }).withColumn("row_weight", F.col("sensor") * F.col("quality") * F.col("transition") * F.col("balance"))
-    recent = row_weights.with_recency(sanitize_features(weighed), "bucket_ts")
+    recent = row_weights.with_recency(sanitize_features(weighed), "bucket_ts", keys)
     raw = recent.withColumn("raw_weight", F.col("recency") * F.col("row_weight") * occupancy_weight(F.col("label")))
     usable = cut_lineage(supervised_rows(raw, "label", "raw_weight"))
-    return row_weights.stabilize_weights(usable, "raw_weight", "sample_weight")
+    return row_weights.stabilize_weights(usable, "raw_weight", "sample_weight", keys)
 
 
 def trainable_category(rows: DataFrame, column: str = "category_key") -> DataFrame:
@@ -141,8 +146,8 @@ def evaluate(scored: DataFrame, profile: DataFrame, prefix: str) -> dict:
     return {f"{prefix}_rows": row["points"], f"{prefix}_mae": row["mae"], f"{prefix}_rmse": row["rmse"], f"{prefix}_coverage_err": row["coverage_err"]}
 
 
-def tuning_candidates(limit: int = config.TUNE_MAX_CANDIDATES, rounds: int = config.TUNE_ROUNDS) -> list[TreeParams]:
-    """The default and a seeded choice of its neighbours.
+def tuning_candidates(limit: int = config.TUNE_MAX_CANDIDATES, rounds: int = config.TUNE_ROUNDS, preferred: TreeParams | None = None) -> list[TreeParams]:
+    """The parameters that won last time, the default and a seeded choice of its neighbours.
 
     L1 and L2 penalties have no counterpart in Spark ML and are not searched.
     """
@@ -151,57 +156,98 @@ def tuning_candidates(limit: int = config.TUNE_MAX_CANDIDATES, rounds: int = con
         replace(base, depth=d, eta=e, subsample=s, columns=c, min_rows=m)
         for d, e, s, c, m in itertools.product((3, 4, 5), (0.03, 0.05, 0.08), (0.8, 0.9), (0.8, 0.9), (1, 3))
     ]
-    others = [p for p in grid if p != base]
+    first = [replace(preferred, rounds=rounds), base] if preferred and replace(preferred, rounds=rounds) != base else [base]
+    others = [p for p in grid if p not in first]
     random.Random(config.TUNE_SEED).shuffle(others)
-    return [base, *others[: limit - 1]]
-
-
-def time_series_tuning(rows: DataFrame, candidates: list[TreeParams], folds: int = config.TUNE_FOLDS) -> tuple[TreeParams, list[tuple[TreeParams, float]]]:
-    """Lowest mean fold score; folds are in time order and shared by all candidates."""
-    split = cut_lineage(row_weights.cv_folds(rows, "bucket_ts", folds))
-    scores = []
-    for params in candidates:
-        total = [fold_score(split.filter(F.col("fold") == i), params) for i in range(1, folds + 1)]
-        penalty = config.TUNE_COMPLEXITY_WEIGHT * max(0.0, (params.depth - config.BOOST_DEPTH) / config.BOOST_DEPTH)
-        scores.append((params, sum(total) / len(total) + penalty))
-    return min(scores, key=lambda s: s[1])[0], scores
-
-
-def fold_score(fold: DataFrame, params: TreeParams) -> float:
-    """MAE + 0.2 coverage error + 0.15 mean error of the worst tenth."""
-    train = fold.filter("fold_part = 'train'")
-    limits = collect_limits(train)
-    ready = apply_limits(fold, limits)
-    model = fit_trees(ready.filter("fold_part = 'train'"), params)
-    scored = cut_lineage(predict(model, ready).select("fold_part", "label", "p50", F.col("sample_weight").alias("weight")))
+    return [*first, *others][:limit]
+
+
+def fold_table(rows: DataFrame, folds: int = config.TUNE_FOLDS) -> DataFrame:
+    """Rows of all folds, filled and clipped by their own fold's training part, written once.
+
+    The loop is over folds, a handful.
+    """
+    split = cut_lineage(row_weights.cv_folds(rows, "bucket_ts", folds), by=["fold"])
+    parts = []
+    for i in range(1, folds + 1):
+        fold = split.filter(F.col("fold") == i)
+        parts.append(apply_limits(fold, collect_limits(fold.filter("fold_part = 'train'"))))
+    return cut_lineage(functools.reduce(DataFrame.unionByName, parts), by=["fold"])
+
+
+def fold_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """MAE + 0.2 coverage error + 0.15 mean error of the worst tenth, for every candidate and fold at once.
+
+    ``scored`` holds fold_part, label, p50 and weight.
+    """
     residual = scored.filter("fold_part = 'train'").withColumn("_r", F.col("label") - F.col("p50"))
-    bounds = weighted_quantiles(residual, [], "_r", "weight", {"q10": config.INTERVAL_LOW_Q, "q90": config.INTERVAL_HIGH_Q}).select("q10", "q90")
+    bounds = weighted_quantiles(residual, keys, "_r", "weight", {"q10": config.INTERVAL_LOW_Q, "q90": config.INTERVAL_HIGH_Q}).select(*keys, "q10", "q90")
     valid = scored.filter("fold_part = 'validation'").withColumn("_e", F.abs(F.col("label") - F.col("p50")))
-    cut = weighted_quantiles(valid, [], "_e", "weight", {"tail": config.TUNE_TAIL_QUANTILE}).select("tail")
-    judged = valid.crossJoin(bounds).crossJoin(cut)  # one row each
+    cut = weighted_quantiles(valid, keys, "_e", "weight", {"tail": config.TUNE_TAIL_QUANTILE}).select(*keys, "tail")
+    limits = cut_lineage(bounds.join(cut, keys))        # one row per candidate and fold
     inside = F.col("label").between(F.col("p50") + F.col("q10"), F.col("p50") + F.col("q90")).cast("double")
-    row = judged.agg(
+    target = config.INTERVAL_HIGH_Q - config.INTERVAL_LOW_Q
+    return valid.join(limits, keys).groupBy(*keys).agg(
         weighted_mean(F.col("_e"), F.col("weight")).alias("mae"), weighted_mean(inside, F.col("weight")).alias("coverage"),
         weighted_mean(F.when(F.col("_e") >= F.col("tail"), F.col("_e")), F.col("weight")).alias("tail_mae"),
-    ).first()
-    target = config.INTERVAL_HIGH_Q - config.INTERVAL_LOW_Q
-    return row["mae"] + config.TUNE_COVERAGE_WEIGHT * abs(row["coverage"] - target) + config.TUNE_TAIL_WEIGHT * row["tail_mae"]
+    ).withColumn("score", F.col("mae") + config.TUNE_COVERAGE_WEIGHT * F.abs(F.col("coverage") - target) + config.TUNE_TAIL_WEIGHT * F.col("tail_mae"))
+
+
+def tuning_rungs(candidates: int, rounds: int, survivors: int = config.TUNE_SURVIVORS) -> list[tuple[int, int]]:
+    """(candidates, rounds) of each rung: the last one compares what is left with all rounds."""
+    sizes = [candidates]
+    while survivors > 1 and sizes[-1] > survivors:
+        sizes.append(-(-sizes[-1] // survivors))
+    return [(n, max(1, rounds // survivors ** (len(sizes) - 1 - k))) for k, n in enumerate(sizes)]
+
+
+def time_series_tuning(
+    rows: DataFrame, candidates: list[TreeParams], folds: int = config.TUNE_FOLDS, *, survivors: int = config.TUNE_SURVIVORS,
+    workers: int = config.TRAIN_WORKERS,
+) -> tuple[TreeParams, list[tuple[TreeParams, float]]]:
+    """Lowest mean fold score, by successive halving; ``survivors=1`` compares all with all rounds.
+
+    A rung fits its candidates on every fold with part of the rounds, several fits at a time, and
+    the best go on.  All fits read one written fold table, and a rung is judged in one pass over
+    the predictions of all its fits.  Folds are in time order and shared by all candidates.
+    """
+    spark = rows.sparkSession
+    ready = fold_table(rows, folds)
+    alive, scores = list(range(len(candidates))), []
+    for n, rounds in tuning_rungs(len(candidates), candidates[0].rounds, survivors):
+        alive = alive[:n]
+
+        def fit(c: int, fold: int, rounds: int = rounds):
+            part = ready.filter(F.col("fold") == fold)
+            model = fit_trees(part.filter("fold_part = 'train'"), replace(candidates[c], rounds=rounds))
+            return cut_lineage(predict(model, part).select(F.lit(c).alias("candidate"), "fold", "fold_part", "label", "p50", F.col("sample_weight").alias("weight")))
+
+        fits = run_all(spark, {(c, i): functools.partial(fit, c, i) for c in alive for i in range(1, folds + 1)}, workers, "tuning")
+        broken = {c for (c, _), found in fits.items() if isinstance(found, Exception)}
+        scored = [found for (c, _), found in fits.items() if c not in broken]
+        if not scored:
+            raise next(iter(fits.values()))
+        judged = fold_scores(functools.reduce(DataFrame.unionByName, scored), ["candidate", "fold"]).groupBy("candidate").agg(F.avg("score").alias("score"))
+        penalty = {c: config.TUNE_COMPLEXITY_WEIGHT * max(0.0, (candidates[c].depth - config.BOOST_DEPTH) / config.BOOST_DEPTH) for c in alive}
+        found = {r["candidate"]: r["score"] + penalty[r["candidate"]] for r in judged.collect()}     # a row per candidate
+        alive = sorted(found, key=lambda c: (found[c], c))
+        scores = [(candidates[c], found[c]) for c in alive]
+    return candidates[alive[0]], scores
 
 
 def feature_ablation(model: TrainedModel, rows: DataFrame) -> DataFrame:
     """MAE when one group of features is taken away, worst loss first.
 
     Missing values are replaced by the fill values, and an unknown location stands
-    for a zeroed one-hot vector.
+    for a zeroed one-hot vector.  Every row becomes one row per variant, so all variants are
+    filled, scored and averaged in one pass.
     """
-    variants = {"baseline": rows, "onehot_location": rows.withColumn("location_id", F.lit(-1).cast("bigint"))}
-    for group, names in FEATURE_GROUPS.items():
-        variants[group] = rows.withColumns({n: F.lit(None).cast("double") for n in names})
-    errors = None
-    for name, variant in variants.items():
-        scored = predict(model.pipeline, apply_limits(variant, model.limits))
-        row = scored.agg(weighted_mean(F.abs(F.col("p50") - F.col("label")), F.col("sample_weight")).alias("mae")).select(F.lit(name).alias("feature_group"), "mae")
-        errors = row if errors is None else errors.unionByName(row)
+    groups = ["baseline", "onehot_location", *FEATURE_GROUPS]
+    varied = rows.withColumn("feature_group", F.explode(F.array(*[F.lit(g) for g in groups])))
+    taken = {n: F.when(F.col("feature_group") != group, F.col(n)) for group, names in FEATURE_GROUPS.items() for n in names}
+    taken["location_id"] = F.when(F.col("feature_group") == "onehot_location", F.lit(-1)).otherwise(F.col("location_id")).cast("bigint")
+    scored = predict(model.pipeline, apply_limits(varied.withColumns(taken), model.limits))
+    errors = cut_lineage(scored.groupBy("feature_group").agg(weighted_mean(F.abs(F.col("p50") - F.col("label")), F.col("sample_weight")).alias("mae")))
     base = errors.filter("feature_group = 'baseline'").select(F.col("mae").alias("_base"))
     ranked = errors.filter("feature_group <> 'baseline'").crossJoin(base)  # one row
     return ablation_ranking(ranked.select("feature_group", "mae", (F.col("mae") - F.col("_base")).alias("delta_mae")))
@@ -215,32 +261,39 @@ def training_block_reason(rows: DataFrame, locations: int) -> str | None:
     return missingness_summary(rows, locations).first()["block_reason"]
 
 
+def unit_rows(sets: DataFrame) -> dict[str, int]:
+    """Training rows of every unit of a set tagged with ``model_key``; one pass, one row per unit."""
+    return {r["model_key"]: r["count"] for r in sets.groupBy("model_key").count().collect()}
+
+
 def train_all_units(
-    sets: DataFrame, units: list[tuple[str, int, str | None]], params: TreeParams, *, blocked: bool = False, due: set[str] | None = None,
-    min_rows: int = config.MIN_TRAIN_ROWS,
+    sets: DataFrame, units: dict[str, list[int]], params: TreeParams, *, blocked: bool = False, due: set[str] | None = None,
+    trainable: set[str] | None = None, min_rows: int = config.MIN_TRAIN_ROWS, workers: int = config.TRAIN_WORKERS,
 ) -> tuple[dict[str, TrainedModel], list[dict]]:
-    """Train every unit (key, facility, category or None for all) and report its status.
+    """Train every unit (its key and locations) and report its status; several fits run at a time.
 
-    The loop is over models, a handful; every fit is distributed.
+    ``sets`` holds each unit's training rows under its ``model_key``.  A unit that fails is reported
+    as ``error`` and leaves the others alone.  Every fit is distributed.
     """
-    models, report = {}, []
-    for key, facility, category in units:
-        mine = sets.filter(F.col("facility_id") == facility)
-        if category is not None:
-            mine = mine.filter(F.col("category_key") == category)
-        n = mine.count()
+    counts = unit_rows(sets)
+
+    def train(key: str) -> TrainedModel | str:
+        mine = sets.filter(F.col("model_key") == key)
+        return training_block_reason(mine, len(units[key])) or train_p50(mine, key, params)
+
+    status = {}
+    for key in units:
         if blocked:
-            status = "blocked_quality"
+            status[key] = "blocked_quality"
         elif due is not None and key not in due:
-            status = "not_due"
-        elif category is not None and category not in config.TRAINABLE_CATEGORIES:
-            status = "not_trainable"
-        elif n < min_rows:
-            status = "too_few_rows"
-        else:
-            reason = training_block_reason(mine, mine.select("location_id").distinct().count())
-            status = reason or "trained"
-            if reason is None:
-                models[key] = train_p50(mine, key, params)
-        report.append({"model_key": key, "rows": n, "status": status})
-    return models, report
+            status[key] = "not_due"
+        elif trainable is not None and key not in trainable:
+            status[key] = "not_trainable"
+        elif counts.get(key, 0) < min_rows:
+            status[key] = "too_few_rows"
+    found = run_all(sets.sparkSession, {k: functools.partial(train, k) for k in units if k not in status}, workers, "training")
+    models = {k: m for k, m in found.items() if isinstance(m, TrainedModel)}
+    for key, result in found.items():
+        status[key] = "trained" if key in models else "error" if isinstance(result, Exception) else result
+    reasons = {k: f"{type(e).__name__}: {e}"[:500] for k, e in found.items() if isinstance(e, Exception)}
+    return models, [{"model_key": k, "rows": counts.get(k, 0), "status": status[k], "reason": reasons.get(k)} for k in units]

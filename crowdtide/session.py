@@ -46,12 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="crowdtide-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and go on from there.
 
     It is computed once, outlives lost executors, and its size is known to the
-    planner afterwards, which then broadcasts it only if it is small enough.
+    planner afterwards, which then broadcasts it only if it is small enough.  ``by`` lays
+    the files out in a folder per value, so that a filter on it reads only its own.
     """
     path = f"{shared_folder(df.sparkSession)}/crowdtide/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
