@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "series", "crowd", "live", "schedules", "calibration", "models", "forecast")
+MODULES = ("cleaning", "series", "crowd", "live", "schedules", "calibration", "models", "forecast", "streams", "documents")
 
 
 def load() -> tuple[dict, dict]:

@@ -117,7 +117,7 @@ def build_forecast(
     readings: DataFrame, dimension: DataFrame, weather: DataFrame, ranges: DataFrame, days: DataFrame, at: dt.datetime, *,
     store: str, run_name: str, rules: DataFrame | None = None, plan: ModelPlan = ModelPlan(), grid: int = config.RESAMPLE_MINUTES,
     forecast_days: int = config.FORECAST_DAYS, min_points: int = config.BASELINE_MIN_POINTS,
-) -> dict[str, DataFrame]:
+):
     """Readings -> points, bands, windows and the nested document of the coming week.
 
     ``readings`` are all of them, also invalid and closed ones, which the quality gate counts;
@@ -204,5 +204,5 @@ def build_forecast(
     document = nest_document(points.withColumn("hour_start", F.col("target_ts")))
     return {
         "points": points, "bands": bands, "windows": best.unionByName(avoid), "thresholds": limits, "document": document,
-        "estimates": estimates, "report": model_report(run, store, units), "manifest": run.rows(),
+        "estimates": estimates, "models": models, "sets": sets, "report": model_report(run, store, units), "manifest": run.rows(),
     }

@@ -32,16 +32,6 @@ def score(features: DataFrame, model: TrainedModel, profile: DataFrame) -> DataF
     return quantile_bounds(raw, profile)
 
 
-def score_units(features: DataFrame, models: dict[str, TrainedModel], members: DataFrame, profile: DataFrame) -> DataFrame:
-    """Predictions of every model for its own locations; the loop is over models."""
-    out = None
-    for key, model in sorted(models.items()):
-        mine = features.join(members.filter(F.col("model_key") == key).select("location_id"), "location_id", "left_semi")
-        part = score(mine, model, profile)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def model_scores(metrics: DataFrame) -> DataFrame:
     """Quality score per model from holdout errors, or validation errors without."""
     held = F.col("holdout_mae").isNotNull() & (F.col("holdout_rows") > 0)

@@ -264,36 +264,3 @@ def training_block_reason(rows: DataFrame, locations: int) -> str | None:
 def unit_rows(sets: DataFrame) -> dict[str, int]:
     """Training rows of every unit of a set tagged with ``model_key``; one pass, one row per unit."""
     return {r["model_key"]: r["count"] for r in sets.groupBy("model_key").count().collect()}
-
-
-def train_all_units(
-    sets: DataFrame, units: dict[str, list[int]], params: TreeParams, *, blocked: bool = False, due: set[str] | None = None,
-    trainable: set[str] | None = None, min_rows: int = config.MIN_TRAIN_ROWS, workers: int = config.TRAIN_WORKERS,
-) -> tuple[dict[str, TrainedModel], list[dict]]:
-    """Train every unit (its key and locations) and report its status; several fits run at a time.
-
-    ``sets`` holds each unit's training rows under its ``model_key``.  A unit that fails is reported
-    as ``error`` and leaves the others alone.  Every fit is distributed.
-    """
-    counts = unit_rows(sets)
-
-    def train(key: str) -> TrainedModel | str:
-        mine = sets.filter(F.col("model_key") == key)
-        return training_block_reason(mine, len(units[key])) or train_p50(mine, key, params)
-
-    status = {}
-    for key in units:
-        if blocked:
-            status[key] = "blocked_quality"
-        elif due is not None and key not in due:
-            status[key] = "not_due"
-        elif trainable is not None and key not in trainable:
-            status[key] = "not_trainable"
-        elif counts.get(key, 0) < min_rows:
-            status[key] = "too_few_rows"
-    found = run_all(sets.sparkSession, {k: functools.partial(train, k) for k in units if k not in status}, workers, "training")
-    models = {k: m for k, m in found.items() if isinstance(m, TrainedModel)}
-    for key, result in found.items():
-        status[key] = "trained" if key in models else "error" if isinstance(result, Exception) else result
-    reasons = {k: f"{type(e).__name__}: {e}"[:500] for k, e in found.items() if isinstance(e, Exception)}
-    return models, [{"model_key": k, "rows": counts.get(k, 0), "status": status[k], "reason": reasons.get(k)} for k in units]

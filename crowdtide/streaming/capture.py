@@ -12,30 +12,38 @@ from crowdtide import config
 from crowdtide.sources.live import append_if_changed, latest_per_location, stamp
 
 STATE = "last STRING"
+PIECE = 10_000      # changes handed on at a time
 
 
 def stream_change_capture(readings: DataFrame) -> DataFrame:
     """Drop readings whose reported time equals the location's last one.
 
     Readings hold location_id, id, current_capacity, is_closed, last_updated.  The state is one
-    string per location.  A location's rows of one micro-batch are put into arrival
-    order together; their number is bounded by the trigger's rate limit
-    (maxFilesPerTrigger, maxOffsetsPerTrigger), not by the history.
+    string per location.  Within a micro-batch a location's readings count in the order of their ids,
+    so the changes that come out do not depend on how many readings a trigger gathers; their number is
+    bounded by the trigger's rate limit (maxFilesPerTrigger, maxOffsetsPerTrigger), not by the history.
+    Pieces of a location are put in order by themselves and merged one reading at a time.
     """
     schema = "location_id BIGINT, id BIGINT, is_closed BOOLEAN, current_capacity DOUBLE, last_updated STRING"
+    columns = ["location_id", "id", "is_closed", "current_capacity", "last_updated"]
 
     def run(key, pieces: Iterator, state) -> Iterator:
+        import heapq
+
         import pandas as pd
 
-        last = state.get[0] if state.exists else ""
-        rows = pd.concat(list(pieces)).sort_values("id")
-        stamps = rows["last_updated"].fillna("").astype(str).str.strip()
-        before = stamps.shift(1)
-        before.iloc[0] = last
-        kept = rows[stamps != before].copy()
-        kept["last_updated"] = stamps[stamps != before]
-        state.update((stamps.iloc[-1],))
-        yield kept[["location_id", "id", "is_closed", "current_capacity", "last_updated"]]
+        last, kept = state.get[0] if state.exists else "", []
+        ordered = [p[columns].sort_values("id").itertuples(index=False, name=None) for p in pieces]
+        for row in heapq.merge(*ordered, key=lambda r: r[1]):
+            stamped = "" if row[4] is None else str(row[4]).strip()
+            if stamped != last:
+                kept.append((*row[:4], stamped))
+                last = stamped
+            if len(kept) >= PIECE:
+                yield pd.DataFrame(kept, columns=columns)
+                kept = []
+        state.update((last,))
+        yield pd.DataFrame(kept, columns=columns)
 
     return readings.groupBy("location_id").applyInPandasWithState(lambda k, p, s: run(k, p, s), schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -72,29 +80,50 @@ def capture_batch(store: str, latest: str, capacity: DataFrame):
     return write
 
 
+def merge_stretches(stretches: list[tuple[int, int]], times: list[int], limit: int) -> list[tuple[int, int]]:
+    """Stretches (first, last) without a gap above ``limit``, after more times have come, in any order."""
+    out: list[list[int]] = []
+    for first, last in sorted([*stretches, *((t, t) for t in times)]):
+        if out and first - out[-1][1] <= limit:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [tuple(s) for s in out]
+
+
 def stream_staleness(readings: DataFrame, silent_hours: float = config.STALE_HOURS) -> DataFrame:
-    """One row per location and silence: no reading for a day of event time.
+    """One row per location and silence: no reading for ``silent_hours`` of event time.
 
-    Needs a watermark on observed_at.  The timer of a location moves with its newest
-    reading and fires when the watermark passes it.
+    Needs a watermark on observed_at.  A location's state is the stretches of time without a gap that
+    are not settled yet; late readings join or split nothing else, so neither their order nor the
+    size of a trigger matters.  A stretch is settled when the watermark has passed its end by the
+    limit: then no reading can come that would go on from it, and the silence after it is reported.
     """
     schema = "location_id BIGINT, latest_at TIMESTAMP, age_limit_min DOUBLE"
+    limit = int(silent_hours * 3_600_000_000)
 
     def run(key, pieces, state):
         import pandas as pd
 
-        if state.hasTimedOut:
-            latest = state.get[0]
+        first, last = state.get if state.exists else ([], [])
+        stretches = list(zip(first, last, strict=True))
+        for piece in [] if state.hasTimedOut else pieces:
+            times = (piece["observed_at"].astype("datetime64[us]").astype("int64")).tolist()
+            stretches = merge_stretches(stretches, times, limit)
+        # milliseconds; the timer of a stretch fires once the watermark is past it
+        due = lambda s: -(-(s[1] + limit) // 1000)
+        watermark = state.getCurrentWatermarkMs()
+        over = [s for s in stretches if due(s) < watermark]
+        open_ones = [s for s in stretches if due(s) >= watermark]
+        if open_ones:
+            state.update(([s[0] for s in open_ones], [s[1] for s in open_ones]))
+            state.setTimeoutTimestamp(max(min(due(s) for s in open_ones), watermark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"location_id": [key[0]], "latest_at": [pd.Timestamp(latest, unit="us")], "age_limit_min": [silent_hours * 60]})
-            return
-        newest = max(int(p["observed_at"].max().value // 1000) for p in pieces)
-        latest = max(newest, state.get[0]) if state.exists else newest
-        state.update((latest,))
-        deadline = latest // 1000 + int(silent_hours * 3_600_000)
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
+        if over:
+            ended = pd.to_datetime([s[1] for s in over], unit="us")
+            yield pd.DataFrame({"location_id": [key[0]] * len(over), "latest_at": ended, "age_limit_min": [silent_hours * 60] * len(over)})
 
     return readings.groupBy("location_id").applyInPandasWithState(
-        lambda k, p, s: run(k, p, s), schema, "latest_us BIGINT", "append", GroupStateTimeout.EventTimeTimeout
+        lambda k, p, s: run(k, p, s), schema, "first ARRAY<BIGINT>, last ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -98,6 +98,18 @@ def test_ablation_ranks_by_loss(rows, model):
     assert [r.delta_mae for r in ranked] == sorted((r.delta_mae for r in ranked), reverse=True)
 
 
+def test_ablation_in_one_pass_equals_variant_by_variant(rows, model):
+    got = {r.feature_group: r.mae for r in training.feature_ablation(model, rows).collect()}
+    for group in ("weather", "onehot_location"):
+        if group == "onehot_location":
+            variant = rows.withColumn("location_id", F.lit(-1).cast("bigint"))
+        else:
+            variant = rows.withColumns({n: F.lit(None).cast("double") for n in ft.FEATURE_GROUPS[group]})
+        alone = training.predict(model.pipeline, ft.apply_limits(variant, model.limits))
+        mae = alone.agg(training.weighted_mean(F.abs(F.col("p50") - F.col("label")), F.col("sample_weight")).alias("mae")).first().mae
+        assert abs(mae - got[group]) < 1e-9
+
+
 def test_tuning_candidates():
     found = training.tuning_candidates()
     assert len(found) == 16 == len(set(found)) and found == training.tuning_candidates()

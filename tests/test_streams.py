@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from crowdtide.streaming.alerts import alert_batch
-from crowdtide.streaming.capture import capture_batch, stream_change_capture, stream_staleness
+from crowdtide.streaming.capture import capture_batch, merge_stretches, stream_change_capture, stream_staleness
 from crowdtide.streaming.resample import stream_resample
 
 SCHEMA = "id BIGINT, location_id BIGINT, is_closed BOOLEAN, current_capacity DOUBLE, last_updated STRING, observed_at TIMESTAMP"
@@ -88,3 +88,57 @@ def test_captured_changes_do_not_depend_on_the_trigger(spark, tmp_path):
         found.append(sorted((r.location_id, r.current_capacity, r.last_updated, r.max_capacity) for r in stored))
     assert found[0] == found[1]
     assert [r[2] for r in found[0] if r[0] == 0] == ["a", "b", "", "b", "c", "a"]
+
+
+def test_outside_changes_of_rules_are_merged_once(spark, tmp_path):
+    """A rule added between two batches fires once, a deleted one does not fire, and a repeated batch takes the same changes."""
+    import datetime as dt
+
+    rule = "id BIGINT, facility_id BIGINT, section_key STRING, threshold INT, endpoint STRING, created_at TIMESTAMP"
+    day = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 7, "overall", 10, "e", day), (3, 7, "overall", 50, "g", day)], rule).write.parquet(f"{tmp_path}/rules/batch=-1")
+    sections = spark.createDataFrame([(7, "overall", 1)], "facility_id BIGINT, section_key STRING, location_id BIGINT")
+    capacity = spark.createDataFrame([(1, 100)], "location_id BIGINT, max_capacity INT")
+    names = spark.createDataFrame([(7, "Hall")], "facility_id BIGINT, facility_name STRING")
+    write = alert_batch(f"{tmp_path}/rules", f"{tmp_path}/out", f"{tmp_path}/live", sections, capacity, names, f"{tmp_path}/changes")
+    say = lambda rows: spark.createDataFrame(rows, rule + ", change STRING, change_id STRING").write.mode("append").parquet(f"{tmp_path}/changes")
+    batch = lambda k, count: write(spark.createDataFrame(rows_at(spark, (k, 1, count, "s", "2024-01-01 00:00:00")), SCHEMA), k)
+    sent = lambda: sorted((r.id, r.threshold, r.batch) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    batch(0, 80)
+    say([(2, 7, " Entire  Facility", 60, "f", day, "upsert", "a"), (3, 7, "overall", 50, "g", day, "delete", "b"), (9, 7, "overall", 45, "e", day, "upsert", "c")])
+    batch(1, 40)
+    assert sent() == [(2, 60, 1), (9, 45, 1)]
+    say([(4, 7, "overall", 90, "h", day, "upsert", "d")])
+    batch(1, 40)        # repeated after a failure: what came later is not taken yet
+    assert sent() == [(2, 60, 1), (9, 45, 1)]
+    batch(2, 40)
+    batch(3, 40)
+    assert sent() == [(2, 60, 1), (4, 90, 2), (9, 45, 1)]
+
+
+def test_stretches_do_not_depend_on_order():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        times, limit = [rng.randrange(300) for _ in range(rng.randrange(1, 40))], rng.randrange(1, 20)
+        want = []
+        for t in sorted(times):
+            want = [*want[:-1], (want[-1][0], t)] if want and t - want[-1][1] <= limit else [*want, (t, t)]
+        got = []
+        while times:
+            cut = rng.randrange(1, len(times) + 1)
+            got, times = merge_stretches(got, times[:cut], limit), times[cut:]
+        assert got == want
+
+
+def test_late_readings_end_a_silence_before_it_is_reported(spark, tmp_path):
+    batches = [
+        rows_at(spark, (1, 1, 5, "a", "2024-01-01 00:00:00"), (2, 1, 5, "a", "2024-01-03 00:00:00")),
+        rows_at(spark, (3, 1, 5, "a", "2024-01-02 00:00:00"), (4, 2, 5, "a", "2024-01-03 00:00:00")),
+        rows_at(spark, (5, 2, 5, "a", "2024-01-09 00:00:00")),
+        rows_at(spark, (6, 2, 5, "a", "2024-01-20 00:00:00")),
+    ]
+    stream = feed(spark, tmp_path, batches).withWatermark("observed_at", "4 days")
+    out = run(stream_staleness(stream.select("location_id", "observed_at")), tmp_path, "late_silent").collect()
+    assert sorted((r.location_id, str(r.latest_at)) for r in out) == [(1, "2024-01-03 00:00:00"), (2, "2024-01-03 00:00:00"), (2, "2024-01-09 00:00:00")]
