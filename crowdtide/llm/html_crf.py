@@ -30,6 +30,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("iframe noscript object script select style svg template textarea title video audio canvas".split())
+RAW_TAGS = frozenset("script style textarea title".split())
 # a tag that starts ends an open one of these, up to the nearest container
 ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
@@ -45,7 +46,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """Features of an ancestor: its tag and the words of its class, id and role."""
     found = [f"<{tag}"]
     for groups in _ATTRIBUTE.findall(attributes):
-        found += [f".{part}" for part in _PART.findall("".join(groups).lower()[:200])]
+        found += [f".{part}" for part in _PART.findall("".join(groups).lower())]
     return tuple(found)
 
 
@@ -101,7 +102,8 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in SILENT_TAGS:
             if not found[3].endswith("/"):
                 closing = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else len(page)
+                # an element that holds markup and is never closed silences nothing; one that holds raw text, the rest
+                at = closing.end() if closing else len(page) if tag in RAW_TAGS else at
         elif tag in VOID_TAGS:
             if tag == "br":
                 say(" ")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdtide.llm.columns import free_name, has_column
 from crowdtide.session import cut_lineage
 
 MAX_RATIO = 0.1
@@ -46,18 +47,17 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All rows and columns, with ``text_col`` rid of boilerplate; adds ``n_lines`` and ``n_dropped``."""
-    known = boilerplate(pages, host_col, text_col, max_ratio, min_pages).withColumnRenamed("host", "_host").withColumnRenamed("line_keys", "_keys")
+    """All rows and columns, with ``text_col`` rid of boilerplate; adds ``n_lines`` and ``n_dropped``.
+
+    A column of the table that has one of these names stays as it is, and that count is left out.
+    """
+    host, keys, lines, kept = (free_name(pages, n) for n in ("_host", "_line_keys", "_lines", "_kept"))
+    known = boilerplate(pages, host_col, text_col, max_ratio, min_pages).select(F.col("host").alias(host), F.col("line_keys").alias(keys))
     # written, so that the planner knows its size and sends it to the texts only if it is small
     known = cut_lineage(known)
-    lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(line)), F.lit(False)))
-    marked = pages.join(known, pages[host_col].eqNullSafe(known["_host"]), "left")
-    kept = F.when(F.col("_keys").isNull() | F.col(text_col).isNull(), lines).otherwise(kept)
-    return (
-        marked.withColumn("_kept", kept)
-        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", (F.col("n_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long"))
-        .withColumn(text_col, F.array_join("_kept", "\n"))
-        .drop("_host", "_keys", "_kept")
-    )
+    marked = pages.join(known, pages[host_col].eqNullSafe(known[host]), "left").withColumn(lines, _lines(F.col(text_col)))
+    clean = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col(keys), line_key(line)), F.lit(False)))
+    marked = marked.withColumn(kept, F.when(F.col(keys).isNull() | F.col(text_col).isNull(), F.col(lines)).otherwise(clean))
+    before, after = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size(kept), F.lit(0))
+    counted = {n: c for n, c in (("n_lines", before), ("n_dropped", (before - after).cast("long"))) if not has_column(pages, n)}
+    return marked.withColumns(counted).withColumn(text_col, F.array_join(kept, "\n")).drop(host, keys, lines, kept)

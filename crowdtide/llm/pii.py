@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdtide.llm.columns import free_name, has_column
 from crowdtide.session import cut_lineage
 
 KEY = "surrogates-1"
@@ -274,35 +275,40 @@ def assignments(known: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"surrogates still collide after {ROUNDS} rounds: too few strings of a format that cannot grow")
 
 
-def _redrawn(docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame | None:
-    """By hash of a text, the attempts of those of its entities that were drawn again."""
+def _redrawn(docs: DataFrame, text_col: str, table: DataFrame, key: str, attempts: str) -> DataFrame | None:
+    """By hash of a text (column ``key``), the ``attempts`` of those of its entities that were drawn again."""
     redrawn = cut_lineage(table.where("attempt > 0").select("kind", "canon", "attempt"))
     if redrawn.isEmpty():
         return None
     text = F.col(text_col)
-    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias("_key"), F.explode(F.array_distinct(entities_of(text))).alias("surface"))
+    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias(key), F.explode(F.array_distinct(entities_of(text))).alias("surface"))
     held = held.withColumn("kind", kind_of(F.col("surface"))).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
-    few = held.join(redrawn, ["kind", "canon"]).select("_key", "surface", "attempt").distinct()
-    return cut_lineage(few.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "attempt"))).alias("_attempts")))
+    few = held.join(redrawn, ["kind", "canon"]).select(key, "surface", "attempt").distinct()
+    return cut_lineage(few.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("surface", "attempt"))).alias(attempts)))
 
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """All rows and columns with entities replaced; adds ``n_replaced``."""
+    """All rows and columns with entities replaced; adds ``n_replaced``.
+
+    A column of the table with that name stays as it is, and the count is left out.
+    """
     text = F.col(text_col)
-    attempts = _redrawn(docs, text_col, assignments(entities(docs, text_col), key))
+    hashed, found, tried, done = (free_name(docs, n) for n in ("_key", "_found", "_attempts", "_made"))
+    attempts = _redrawn(docs, text_col, assignments(entities(docs, text_col), key), hashed, tried)
     none = F.create_map().cast("map<string,int>")
-    found = docs.withColumn("_found", entities_of(text))
+    rows = docs.withColumn(found, entities_of(text))
     if attempts is None:
-        found = found.withColumn("_attempts", none)
+        rows = rows.withColumn(tried, none)
     else:
-        found = found.withColumn("_key", F.xxhash64(text)).join(attempts, "_key", "left").drop("_key").withColumn("_attempts", F.coalesce("_attempts", none))
-    made = F.when(F.size("_found") > 0, surrogates(F.col("_found"), F.col("_attempts"), key))
-    # a name told by its title is the same person where it stands without one
+        rows = rows.withColumn(hashed, F.xxhash64(text)).join(attempts, hashed, "left").drop(hashed).withColumn(tried, F.coalesce(tried, none))
+    made = F.when(F.size(found) > 0, surrogates(F.col(found), F.col(tried), key))
+    # a name told by its title is the same person where it stands without one, as words of its own
     bare = lambda name: F.regexp_replace(name, r"^\p{L}+\.? ", "")
-    people = F.filter("_made", lambda e: (e["kind"] == "name") & bare(e["surface"]).contains(" "))
-    renamed = lambda gap: F.aggregate(people, gap, lambda done, e: F.replace(done, bare(e["surface"]), bare(e["made"])))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), "_made", lambda gap, e: F.concat(renamed(gap), F.coalesce(e["made"], F.lit("")))), "")
-    return (
-        found.withColumn("_made", made).withColumn("n_replaced", F.coalesce(F.size("_found"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("n_replaced") > 0, joined).otherwise(text)).drop("_found", "_attempts", "_made")
-    )
+    whole = lambda name: F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<![\p{L}]-)\Q"), name, F.lit(r"\E(?![\p{L}\p{N}]|-\p{L})"))
+    people = F.filter(done, lambda e: (e["kind"] == "name") & bare(e["surface"]).contains(" "))
+    renamed = lambda gap: F.aggregate(people, gap, lambda said, e: F.when(
+        said.contains(bare(e["surface"])), F.regexp_replace(said, whole(bare(e["surface"])), bare(e["made"]))).otherwise(said))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), done, lambda gap, e: F.concat(renamed(gap), F.coalesce(e["made"], F.lit("")))), "")
+    count = F.coalesce(F.size(found), F.lit(0)).cast("long")
+    rows = rows.withColumn(done, made).withColumn(text_col, F.when(count > 0, joined).otherwise(text))
+    return (rows if has_column(docs, "n_replaced") else rows.withColumn("n_replaced", count)).drop(found, tried, done)
