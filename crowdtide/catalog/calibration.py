@@ -62,10 +62,13 @@ def margins(spark, d):
     return segments.conformal_margins(scored(spark, d), KEYS).withColumn("margin", r6(F.col("margin")))
 
 
-@query("recent_evaluation", "WITH " + PRED + """SELECT model_key, count(*) AS points, R6(sum(weight * abs(p50 - y_true)) / sum(weight), 6) AS mae, R6(sqrt(sum(weight * (p50 - y_true) * (p50 - y_true)) / sum(weight)), 6) AS rmse,
-R6(sum(CASE WHEN y_true BETWEEN p10 AND p90 THEN weight ELSE 0 END) / sum(weight), 6) AS coverage FROM preds GROUP BY 1""")
+@query("recent_evaluation", "WITH " + PRED + """, e AS (SELECT model_key, count(*) AS points, sum(weight * abs(p50 - y_true)) / sum(weight) AS mae, sqrt(sum(weight * (p50 - y_true) * (p50 - y_true)) / sum(weight)) AS rmse,
+sum(CASE WHEN y_true BETWEEN p10 AND p90 THEN weight ELSE 0 END) / sum(weight) AS coverage FROM (SELECT * FROM preds QUALIFY ts >= max(ts) OVER (PARTITION BY model_key) - INTERVAL '14 days') GROUP BY 1)
+SELECT model_key, points, R6(mae, 6) AS mae, R6(rmse, 6) AS rmse, R6(coverage, 6) AS coverage, R6(abs(coverage - 0.8), 6) AS coverage_err FROM e""")
 def evaluation(spark, d):
-    return segments.recent_evaluation(predictions(spark, d), KEYS).select(*KEYS, "points", *[r6(F.col(c)).alias(c) for c in ("mae", "rmse", "coverage")])
+    """Errors and coverage of the last fourteen days of each model."""
+    lately = segments.recent_days(predictions(spark, d), KEYS, config.CHAMPION_RECENT_DAYS)
+    return segments.recent_evaluation(lately, KEYS).select(*KEYS, "points", *[r6(F.col(c)).alias(c) for c in ("mae", "rmse", "coverage", "coverage_err")])
 
 
 DRIFT = PRED + """,
@@ -156,13 +159,32 @@ def horizon_regression(spark, d):
     return fits.select("horizon", "occupancy", "n", *[r6(F.col(c), 5).alias(c) for c in ("slope", "intercept", "baseline_mae", "mae", "blend")])
 
 
-@query("horizon_adjust")
+@query("horizon_adjust", "WITH " + FIT + "," + PRED[PRED.index("dim AS ("):] + """,
+b AS (SELECT horizon, occupancy, n, slope, intercept, 0.45 * least(1.0, n / 300.0) * CASE WHEN m0 > 1e-4 AND m0 > m1 THEN least(1.0, (m0 - m1) / m0) ELSE 0 END AS blend
+  FROM er WHERE occupancy = 'all' OR n >= 18),
+ft AS (
+  SELECT c.cls, b.horizon, {'h': b.horizon, 's': slope, 'i': intercept, 'b': blend} AS fit FROM (VALUES ('low'), ('mid'), ('high')) c(cls) JOIN b ON b.occupancy IN ('all', c.cls)
+  WHERE n >= 30 AND (b.occupancy <> 'all' OR NOT EXISTS (SELECT 1 FROM b o WHERE o.horizon = b.horizon AND o.occupancy = c.cls))),
+nb AS (
+  SELECT cls, h, arg_max(fit, horizon) FILTER (horizon > 0 AND horizon <= h) AS below, arg_min(fit, horizon) FILTER (horizon > 0 AND horizon >= h) AS above, any_value(fit) FILTER (horizon = 0) AS total
+  FROM ft, (SELECT unnest(range(24)) AS h) GROUP BY 1, 2),
+lh AS (SELECT cls, h, coalesce(below, above, total) AS lo, coalesce(above, below, total) AS hi FROM nb),
+ab AS (SELECT *, CASE WHEN hi.h > lo.h THEN (h - lo.h) / CAST(hi.h - lo.h AS DOUBLE) ELSE 0.0 END AS a FROM lh),
+ip AS (SELECT cls, h, lo.s * (1 - a) + hi.s * a AS s, lo.i * (1 - a) + hi.i * a AS i, lo.b * (1 - a) + hi.b * a AS b FROM ab),
+ends AS (SELECT min(horizon) AS first, max(horizon) AS last FROM b WHERE horizon > 0 AND occupancy = 'all'),
+pl AS (
+  SELECT p.*, coalesce(least(0.45, greatest(0.0, ip.b)) * CASE WHEN hour(ts) > last THEN greatest(0.15, least(1.0, last / CAST(hour(ts) AS DOUBLE)))
+      WHEN hour(ts) < first THEN greatest(0.3, least(1.0, hour(ts) / CAST(first AS DOUBLE))) ELSE 1.0 END, 0.0) AS w,
+    coalesce(least(1.2, greatest(0.0, ip.s * p50 + ip.i)), p50) AS line
+  FROM preds p CROSS JOIN ends LEFT JOIN ip ON ip.h = hour(ts) AND ip.cls = CASE WHEN least(1.2, greatest(0.0, p50)) < 0.35 THEN 'low' WHEN least(1.2, greatest(0.0, p50)) < 0.75 THEN 'mid' ELSE 'high' END),
+ce AS (SELECT *, (1 - w) * p50 + w * line AS c FROM pl)
+SELECT location_id, ts, R6(c - greatest(0.0, p50 - p10), 5) AS p10, R6(c, 5) AS p50, R6(c + greatest(0.0, p90 - p50), 5) AS p90 FROM ce""")
 def horizon_adjust(spark, d):
-    rows = predictions(spark, d)
-    fits = horizons.horizon_regression(pairs(spark, d).withColumn("model_key", F.lit("all")), KEYS)
-    profile = horizons.horizon_profile(fits, KEYS).drop("model_key")
-    joined = rows.crossJoin(profile).withColumn("hours_ahead", F.hour("ts"))  # one row
-    return horizons.horizon_adjust(joined).select("location_id", "ts", "p10", "p50", "p90")
+    whole = F.lit("all").alias("model_key")
+    fits = horizons.horizon_regression(pairs(spark, d).withColumn("model_key", whole), KEYS)
+    profile = cut_lineage(horizons.horizon_profile(fits, KEYS))      # one row per model, of known size
+    joined = predictions(spark, d).withColumn("model_key", whole).join(profile, KEYS).withColumn("hours_ahead", F.hour("ts"))
+    return horizons.horizon_adjust(joined).select("location_id", "ts", *[r6(F.col(c), 5).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("ensemble_weight", """WITH b AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE ln(1 + event_id + 1) / 0.05 END AS ps, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE 60.0 END AS fs,

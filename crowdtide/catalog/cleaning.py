@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crowdtide.catalog.base import OBS, RATIO, capacity, opened, query, r6, ratio, readings, series
+from crowdtide.catalog.schedules import MOMENTS, moments, rule_table
 from crowdtide.operators import clean
+from crowdtide.operators.schedule import schedule_resolve
 
 
 @query("scan_history", "WITH " + OBS + "SELECT id, location_id, current_capacity FROM observations WHERE NOT is_closed")
@@ -132,37 +134,33 @@ def eligible(spark, d):
     return clean.eligible_locations(stats(spark, d), capacity(spark, d)).select("location_id", "samples", "max_cap")
 
 
-@query("quality_counters", """
-SELECT count(*) AS rows_read, count(*) FILTER (value < 5) AS rows_invalid FROM events""")
+@query("quality_counters", "WITH " + MOMENTS + """, v AS (SELECT r.*, value >= 5 AS ok FROM r JOIN events USING (event_id))
+SELECT count(*) AS rows_read, count(*) FILTER (NOT ok) AS rows_invalid, count(*) FILTER (ok) AS rows_evaluated, count(*) FILTER (ok AND state = 'closed' AND NOT cm) AS rows_closed,
+  count(*) FILTER (ok AND state = 'closed' AND cm) AS rows_closed_kept, count(*) FILTER (ok AND state = 'unknown') AS rows_unknown, count(*) FILTER (ok AND (om OR cm)) AS rows_zeroed FROM v""")
 def counters(spark, d):
+    """Rows with less than five people count as invalid; facilities and their schedules as in the schedule queries."""
     low = readings(spark, d).withColumn("current_capacity", F.when(F.col("current_capacity") >= 5, F.col("current_capacity")))
-    return clean.row_counters(low)
+    placed = low.join(moments(spark, d).select(F.col("event_id").alias("id"), "facility_id"), "id")
+    return clean.row_counters(schedule_resolve(placed, rule_table(spark), "observed_at"), "schedule_state")
 
 
-@query("quality_alert", "WITH " + RATIO + STATS + """,
+@query("quality_alert", "WITH " + RATIO + STATS.rstrip() + LEVELS.rstrip() + """,
 c AS (SELECT count(*) AS rows_read, count(*) FILTER (value < 12) AS rows_invalid FROM events),
 s AS (SELECT count(*) AS locs, count(*) FILTER (is_stale) AS stale, count(*) FILTER (samples >= 80 AND NOT is_stale) AS modeled_locations FROM stats),
-r AS (SELECT *, rows_invalid / rows_read AS ir, stale / greatest(1, locs) AS sr, 0.0 AS fr FROM c, s)
-SELECT rows_read, rows_invalid, round_even(ir, 4) AS invalid_rate, round_even(sr, 4) AS stale_rate, modeled_locations,
-       concat_ws(',', CASE WHEN ir > 0.35 THEN 'invalid_row_rate_high' END, CASE WHEN sr > 0.6 THEN 'stale_location_rate_high' END,
+f AS (SELECT count(DISTINCT location_id) AS flat FROM stuck WHERE location_id % 3 = 1),
+r AS (SELECT *, rows_invalid / rows_read AS ir, stale / greatest(1, locs) AS sr, flat / greatest(1, locs) AS fr FROM c, s, f)
+SELECT rows_read, rows_invalid, round_even(ir, 4) AS invalid_rate, round_even(sr, 4) AS stale_rate, round_even(fr, 4) AS flatline_rate, modeled_locations,
+       concat_ws(',', CASE WHEN ir > 0.35 THEN 'invalid_row_rate_high' END, CASE WHEN sr > 0.6 THEN 'stale_location_rate_high' END, CASE WHEN fr > 0.4 THEN 'flatline_location_rate_high' END,
                  CASE WHEN modeled_locations < 6 THEN 'modeled_locations_too_low' END) AS critical,
-       concat_ws(',', CASE WHEN ir > 0.35 * 0.75 AND ir <= 0.35 THEN 'invalid_row_rate_elevated' END,
-                 CASE WHEN sr > 0.6 * 0.75 AND sr <= 0.6 THEN 'stale_location_rate_elevated' END) AS warnings,
-       CASE WHEN ir > 0.35 OR sr > 0.6 OR modeled_locations < 6 THEN 'critical'
-            WHEN ir > 0.35 * 0.75 OR sr > 0.6 * 0.75 THEN 'warning' ELSE 'ok' END AS severity FROM r""")
+       concat_ws(',', CASE WHEN ir > 0.35 * 0.75 AND ir <= 0.35 THEN 'invalid_row_rate_elevated' END, CASE WHEN sr > 0.6 * 0.75 AND sr <= 0.6 THEN 'stale_location_rate_elevated' END,
+                 CASE WHEN fr > 0.4 * 0.75 AND fr <= 0.4 THEN 'flatline_location_rate_elevated' END) AS warnings,
+       CASE WHEN ir > 0.35 OR sr > 0.6 OR fr > 0.4 OR modeled_locations < 6 THEN 'critical'
+            WHEN ir > 0.35 * 0.75 OR sr > 0.6 * 0.75 OR fr > 0.4 * 0.75 THEN 'warning' ELSE 'ok' END AS severity FROM r""")
 def alert(spark, d):
+    """Flat locations are those of every third location whose levels hold long enough."""
     low = readings(spark, d).withColumn("current_capacity", F.when(F.col("current_capacity") >= 12, F.col("current_capacity")))
-    counted = clean.row_counters(low).withColumn("flat_locations", F.lit(0))
-    return clean.quality_alert(counted, stats(spark, d)).select(
-        "rows_read", "rows_invalid", "invalid_rate", "stale_rate", "modeled_locations",
+    flat = clean.stuck_runs(clean.flat_runs(level_series(spark, d))).filter("location_id % 3 = 1").agg(F.countDistinct("location_id").alias("flat_locations"))
+    return clean.quality_alert(clean.row_counters(low).crossJoin(flat), stats(spark, d)).select(  # one row by one row
+        "rows_read", "rows_invalid", "invalid_rate", "stale_rate", "flatline_rate", "modeled_locations",
         F.array_join("critical", ",").alias("critical"), F.array_join("warnings", ",").alias("warnings"), "severity",
     )
-
-
-@query("series_counters", "WITH " + OBS + """SELECT CAST((SELECT count(*) FROM opened) - (SELECT count(*) FROM series) AS BIGINT) AS duplicates_removed, (SELECT count(*) FROM series) AS kept_before_jumps""")
-def series_counters(spark, d):
-    from crowdtide.session import cut_lineage
-
-    stages = clean.clean_history(clean.open_readings(readings(spark, d)))
-    stages = {n: cut_lineage(t) for n, t in stages.items()}
-    return clean.series_counters(stages).select("duplicates_removed", (F.lit(0) + stages["deduped"].count()).cast("bigint").alias("kept_before_jumps"))

@@ -8,6 +8,7 @@ from crowdtide.catalog.base import DIM, NOW, OBS, RATIO, capacity, locations, no
 from crowdtide.functions import levels
 from crowdtide.operators import bands, crowd, slots
 from crowdtide.session import cut_lineage
+from crowdtide.sources.document import compact_window
 from crowdtide.plans.quiet_windows import SERIES, observed_points, quiet_windows_of
 
 BASELINE = RATIO + "," + DIM + """,
@@ -53,6 +54,21 @@ def combined(spark, d):
     return crowd.combine_thresholds(parts, ["facility_id"])
 
 
+@query("fill_thresholds", "WITH " + BASELINE + """,
+p AS (SELECT d.facility_id, t.low_max, t.peak_min, t.capacity AS w FROM thresholds t JOIN dim d ON t.group_key = CAST(d.location_id AS VARCHAR) WHERE t.group_kind = 'location'),
+c AS (SELECT facility_id, least(99, greatest(0, floor(sum(low_max * w) / sum(w) + 0.5))) AS lm, floor(sum(peak_min * w) / sum(w) + 0.5) AS pm FROM p GROUP BY 1),
+o AS (SELECT CAST(group_key AS BIGINT) AS facility_id, low_max, peak_min FROM thresholds WHERE group_kind = 'facility' AND group_key = '0')
+SELECT coalesce(c.facility_id, o.facility_id) AS facility_id, CAST(coalesce(o.low_max, lm) AS INTEGER) AS low_max, CAST(coalesce(o.peak_min, greatest(lm + 1, least(100, pm))) AS INTEGER) AS peak_min,
+  CASE WHEN o.low_max IS NOT NULL THEN 'own' ELSE 'combined' END AS origin FROM c FULL JOIN o ON o.facility_id = c.facility_id""")
+def filled(spark, d):
+    """Facility 0 has thresholds of its own; the others get those of their locations combined."""
+    known = cut_lineage(crowd.occupancy_thresholds(baseline(spark, d)))
+    own = known.filter("group_kind = 'facility' AND group_key = '0'").select(F.col("group_key").cast("bigint").alias("facility_id"), "low_max", "peak_min")
+    loc = locations(spark, d).withColumn("group_key", F.col("location_id").cast("string"))
+    parts = known.filter("group_kind = 'location'").join(loc, "group_key").withColumn("weight", F.col("capacity"))
+    return crowd.fill_thresholds(own, parts, ["facility_id"])
+
+
 POINTS = BASELINE + """,
 points AS (SELECT g.group_key, CAST(r.bucket_ts AS DATE) AS day, r.bucket_ts AS ts, greatest(0, CAST(round_even(round(sum(r.mean_count), 6), 0) AS BIGINT)) AS expected,
   count(*) AS sample_count, max(t.capacity) AS capacity, max(t.low_max) AS low_max, max(t.peak_min) AS peak_min
@@ -111,6 +127,16 @@ def windows(spark, d):
                       r6(F.col("expected_total") / F.col("window_points"), 2).alias("expected_avg"))
 
 
+@query("compact_windows", "WITH " + POINTS + """
+SELECT b.group_key, b.start, b."end", CAST(hour(b.start) AS INTEGER) AS start_hour, CAST(hour(b."end") AS INTEGER) AS end_hour, round_even(date_diff('minute', b.start, b."end") / 60.0, 2) AS window_hours,
+  CAST(sum(p.expected) AS BIGINT) AS expected_total, round_even(sum(p.expected) / count(*), 2) AS expected_avg FROM bnds b JOIN points p ON p.group_key = b.group_key AND p.ts >= b.start AND p.ts < b."end"
+WHERE b.level = 'peak' GROUP BY 1, 2, 3""")
+def compact(spark, d):
+    p = points(spark, d)
+    crowded = bands.windows_from_bands(bands.crowd_bands(p, SERIES), p, SERIES, "peak")
+    return crowded.select("group_key", compact_window(F.struct(*crowded.columns)).alias("w")).select("group_key", "w.*")
+
+
 @query("quiet_windows", "WITH " + POINTS.replace(">= 60", ">= 120") + """
 SELECT b.group_key AS facility, CASE b.level WHEN 'low' THEN 'best' ELSE 'avoid' END AS advice, b.start, b."end",
   round(date_diff('minute', b.start, b."end") / 60.0, 2) AS window_hours, CAST(sum(p.expected) AS BIGINT) AS expected_total,
@@ -280,9 +306,9 @@ def direction(spark, d):
     return slots.step_direction(next_hours(spark, d), totals, ["facility_id", "section_key"]).select("facility_id", "section_key", "rank", "direction")
 
 
-@query("forecast_hour_bounds", "SELECT min(hour(ts)) AS min_hour, max(hour(ts)) AS max_hour FROM events WHERE event_type = 'view'")
+@query("forecast_hour_bounds", "SELECT min(hour(ts)) AS min_hour, max(hour(ts)) AS max_hour FROM events")
 def bounds(spark, d):
-    return slots.forecast_hour_bounds(spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'view'"), "ts")
+    return slots.forecast_hour_bounds(spark.read.parquet(f"{d}/events.parquet"), "ts")
 
 
 ESTIMATES = RATIO + "," + DIM + """,

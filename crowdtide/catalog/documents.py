@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crowdtide.catalog.base import DIM, query, table
 from crowdtide.session import shared_folder
 from crowdtide.sources import dimensions
-from crowdtide.sources.document import nest_document, read_forecast_document, write_forecast_document
+from crowdtide.sources.document import nest_document, read_forecast_document, schedule_summary, write_forecast_document
 from crowdtide.sources.schedule import read_schedule_document
 
 
@@ -18,12 +18,7 @@ def new_path(spark) -> str:
     return f"{shared_folder(spark)}/crowdtide/document-{uuid.uuid4().hex}"
 
 
-@query("read_schedule_document", """
-WITH f AS (SELECT c_custkey AS facility_id, c_name FROM customer WHERE c_custkey % 4 <> 3)
-SELECT facility_id, 0 AS section_idx, c_name AS section_title, i AS row_idx, 'Day ' || i AS label, (6 + i) || 'am - 9pm' AS hours
-FROM f, (SELECT unnest(range(3)) AS i) WHERE facility_id % 4 <> 2
-UNION ALL SELECT facility_id, 1, '', NULL, NULL, NULL FROM f WHERE facility_id % 4 <> 2""")
-def schedule_document(spark, d):
+def customer_rules(spark, d):
     """A document of a facility per customer is written and read; facilities that were not read well drop out."""
     key = F.col("c_custkey")
     rows = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("Day "), i.cast("string")).alias("label"), F.concat((i + 6).cast("string"), F.lit("am - 9pm")).alias("hours")))
@@ -40,7 +35,21 @@ def schedule_document(spark, d):
     # a document per part of the customers, none of which grows with the table
     parts = table(spark, d, "customer").groupBy(F.floor(key / 500).alias("part")).agg(F.collect_list(facility).alias("facilities"))
     parts.write.partitionBy("part").json(path)      # a document per file
-    return read_schedule_document(spark, path).select("facility_id", "section_idx", "section_title", "row_idx", "label", "hours")
+    return read_schedule_document(spark, path)
+
+
+@query("read_schedule_document", """
+WITH f AS (SELECT c_custkey AS facility_id, c_name FROM customer WHERE c_custkey % 4 <> 3)
+SELECT facility_id, 0 AS section_idx, c_name AS section_title, i AS row_idx, 'Day ' || i AS label, (6 + i) || 'am - 9pm' AS hours
+FROM f, (SELECT unnest(range(3)) AS i) WHERE facility_id % 4 <> 2
+UNION ALL SELECT facility_id, 1, '', NULL, NULL, NULL FROM f WHERE facility_id % 4 <> 2""")
+def schedule_document(spark, d):
+    return customer_rules(spark, d).select("facility_id", "section_idx", "section_title", "row_idx", "label", "hours")
+
+
+@query("schedule_summary", "SELECT c_custkey AS facility_id, CAST(2 AS BIGINT) AS sections FROM customer WHERE c_custkey % 4 IN (0, 1)")
+def sections_of_customers(spark, d):
+    return schedule_summary(customer_rules(spark, d))
 
 
 @query("read_section_dimension", """

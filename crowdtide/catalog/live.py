@@ -65,10 +65,10 @@ def append_counts(spark, d):
     return changed(spark, d)[1]
 
 
-@query("overlay_live_on_layout", "WITH " + LATEST + """, lay AS (SELECT DISTINCT user_id % 15 AS location_id, user_id % 2 AS facility_id, user_id % 4 AS floor FROM events WHERE user_id < 15)
+@query("overlay_live_on_layout", "WITH " + LATEST + """, lay AS (SELECT DISTINCT user_id % 15 AS location_id, user_id % 15 % 2 AS facility_id, user_id % 15 % 4 AS floor FROM events)
 SELECT lay.location_id, lay.floor, l.current_capacity FROM lay LEFT JOIN (SELECT * FROM latest WHERE location_id <> 3) l USING (location_id)""")
 def overlay(spark, d):
-    layout = table(spark, d, "events").filter("user_id < 15").select((F.col("user_id") % 15).alias("location_id"), (F.col("user_id") % 2).alias("facility_id"), (F.col("user_id") % 4).alias("floor")).distinct().withColumn("name", F.col("location_id").cast("string"))
+    layout = table(spark, d, "events").select((F.col("user_id") % 15).alias("location_id"), (F.col("user_id") % 15 % 2).alias("facility_id"), (F.col("user_id") % 15 % 4).alias("floor")).distinct().withColumn("name", F.col("location_id").cast("string"))
     rows = latest_rows(spark, d).filter("location_id <> 3").withColumn("last_updated", F.col("observed_at"))
     return live.overlay_live_on_layout(layout, rows).select("location_id", "floor", "current_capacity")
 
@@ -281,9 +281,12 @@ def targets(spark, d):
     return timeparts.targets_for_days(days)
 
 
-@query("capacity_targets_cross", "WITH " + OBS + """, t AS (SELECT DISTINCT time_bucket(INTERVAL '60 minutes', ts) AS target_ts FROM events) SELECT location_id, max_cap, target_ts FROM caps, t""")
+@query("capacity_targets_cross", "WITH " + OBS + """, t AS (
+  SELECT CAST(d AS DATE) AS day, d + s * INTERVAL '15 minutes' AS target_ts
+  FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-25', TIMESTAMP '2024-01-31', INTERVAL '1 day')) AS d), (SELECT unnest(range(24, 96)) AS s))
+SELECT location_id, max_cap, day, target_ts FROM caps, t""")
 def cross(spark, d):
-    from crowdtide.plans.forecast_week import location_targets
+    """The week from today on, in quarter hours from six to midnight, for every location."""
+    from crowdtide.plans.forecast_week import capacity_targets
 
-    caps = clean.capacity_max(opened(spark, d))
-    return location_targets(caps, table(spark, d, "events").select(timeparts.grid_start(F.col("ts"), 60).alias("target_ts")).distinct())
+    return capacity_targets(clean.capacity_max(opened(spark, d)), F.to_date(now()))

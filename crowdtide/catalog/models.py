@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide import config
-from crowdtide.catalog.base import GRID, PRED, RATIO, WEATHER, locations, predictions, query, r6, ratio, series, table, weather
+from crowdtide.catalog.base import GRID, NOW, PRED, RATIO, WEATHER, locations, predictions, query, r6, ratio, series, table, weather
+from crowdtide.catalog.calibration import BIAS, SEG, _wq, blend
 from crowdtide.catalog.schedules import rule_table
 from crowdtide.operators import calendar, row_weights, segments
 from crowdtide.operators.clean import seasonal_profiles
@@ -90,10 +91,22 @@ def limits(spark, d):
     return ft.feature_limits(messy(spark, d), COLS).select("feature", *[r6(F.col(c)).alias(c) for c in ("fill", "low", "high")])
 
 
-@query("quantile_bounds", "WITH " + PRED + """SELECT location_id, ts, R6(least(1.2, greatest(0.0, p50 - 0.2)), 6) AS p10, R6(least(1.2, greatest(0.0, p50 + 0.3)), 6) AS p90 FROM preds""")
+@query("quantile_bounds", "WITH " + SEG + f""",
+pr AS (SELECT a.model_key, a.seg_kind, a.seg_key, a.n, a.r AS q10, b.r AS q90 FROM {_wq('y_true - p50', 0.1)} a JOIN {_wq('y_true - p50', 0.9)} b USING (model_key, seg_kind, seg_key)
+  WHERE a.seg_kind <> 'horizon' AND (a.n >= 30 OR a.seg_kind = 'global')),
+gl AS (SELECT model_key, q10, q90 FROM pr WHERE seg_kind = 'global'),
+tr AS (
+  SELECT s.model_key, s.location_id, s.ts, s.p50, CASE WHEN s.seg_kind = 'global' THEN 0.0 ELSE least(1.0, p.n / 90.0) END AS sup, p.q10, p.q90, g.q10 AS g10, g.q90 AS g90,
+    CASE s.seg_kind WHEN 'occupancy' THEN 1 WHEN 'hour' THEN 2 WHEN 'block' THEN 3 WHEN 'day_type' THEN 4 ELSE 5 END AS o
+  FROM seg s JOIN pr p USING (model_key, seg_kind, seg_key) JOIN gl g USING (model_key)),
+bd AS (
+  SELECT location_id, ts, least(1.2, greatest(0.0, p50 + arg_min(sup * q10 + (1 - sup) * g10, o))) AS a, least(1.2, greatest(0.0, p50 + arg_min(sup * q90 + (1 - sup) * g90, o))) AS b
+  FROM tr GROUP BY location_id, ts, p50, model_key)
+SELECT location_id, ts, R6(least(a, b), 6) AS p10, R6(greatest(a, b), 6) AS p90 FROM bd""")
 def bounds(spark, d):
-    profile = predictions(spark, d).select("model_key").distinct().select("model_key", F.lit("global").alias("seg_kind"), F.lit("all").alias("seg_key"), F.lit(-0.2).alias("q10"), F.lit(0.3).alias("q90"), F.lit(500).cast("bigint").alias("n"))
-    out = training.quantile_bounds(predictions(spark, d).drop("p10", "p90"), profile)
+    """Intervals from the residual quantiles of each row's own segment."""
+    rows = cut_lineage(predictions(spark, d))
+    out = training.quantile_bounds(rows.drop("p10", "p90"), segments.residual_interval_profile(rows, ["model_key"]))
     return out.select("location_id", "ts", r6(F.col("p10")).alias("p10"), r6(F.col("p90")).alias("p90"))
 
 
@@ -149,7 +162,67 @@ def recursive(spark, d):
     return reduce(DataFrame.unionByName, [recursive_score(ahead.filter(F.col("facility_id") == f), grid, weeks, m, grid=GRID) for f, m in models.items()])
 
 
-@query("estimate_locations")
+def _found(table: str, alias: str, kind: str, key: str) -> str:
+    return f"LEFT JOIN {table} {alias} ON {alias}.model_key = r.model_key AND {alias}.seg_kind = '{kind}' AND {alias}.seg_key = {key}"
+
+
+def _tried(value: str, kinds: dict[str, int], prefix: str) -> str:
+    """The first segment's value, shrunk to the global one by how many rows it has."""
+    tries = ", ".join(
+        f"least(1.0, {prefix}{k}.n / {3.0 * n}) * {prefix}{k}.{value} + (1 - least(1.0, {prefix}{k}.n / {3.0 * n})) * coalesce({prefix}global.{value}, 0)" for k, n in kinds.items())
+    return f"coalesce({tries}, {prefix}global.{value}, 0.0)"
+
+
+SEG_KEYS = {"occupancy": "occ", "horizon": "hb", "hour": "hk", "block": "bk", "day_type": "dt", "global": "'all'"}
+ROW_KEYS = """CASE WHEN wh <= 2 THEN '0_2h' WHEN wh <= 6 THEN '3_6h' WHEN wh <= 12 THEN '7_12h' WHEN wh <= 24 THEN '13_24h' ELSE '25h_plus' END AS hb, CAST(hour(ts) AS VARCHAR) AS hk,
+    CASE WHEN hour(ts) < 6 THEN 'overnight' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'midday' WHEN hour(ts) < 21 THEN 'evening' ELSE 'late' END AS bk,
+    CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS dt,
+    CASE WHEN least(1.2, greatest(0.0, p50)) < 0.35 THEN 'low' WHEN least(1.2, greatest(0.0, p50)) < 0.75 THEN 'mid' ELSE 'high' END AS occ"""
+BIAS_KINDS = {"occupancy": 24, "horizon": 30, "hour": 30, "block": 30, "day_type": 30}
+MARGIN_KINDS = {k: 20 for k in BIAS_KINDS}
+ESTIMATE = PRED + """,
+bo AS (SELECT model_key, location_id, ts, y_true, p10, p50, p90, weight FROM preds UNION ALL SELECT 'all', location_id, ts, y_true, p10 * 0.9, p50 * 0.9, p90 * 0.9, weight FROM preds)""" + SEG[len(PRED):].replace("FROM preds p", "FROM bo p").rstrip() + f""",
+rg AS (SELECT model_key, seg_kind, seg_key, sum(weight * abs(y_true - p50)) / sum(weight) AS mae FROM seg WHERE seg_kind IN ('block', 'horizon', 'day_type', 'global') GROUP BY 1, 2, 3 HAVING seg_kind = 'global' OR count(*) >= 30),
+bi AS (SELECT model_key, seg_kind, seg_key, {BIAS} AS bias, count(*) AS n FROM seg GROUP BY 1, 2, 3 HAVING seg_kind = 'global' OR count(*) >= CASE WHEN seg_kind = 'occupancy' THEN 24 ELSE 30 END),
+df AS (SELECT model_key, seg_kind, seg_key, least(0.12, greatest(-0.12, sum(weight * (y_true - p50)) / sum(weight))) AS bias, count(*) AS n FROM seg
+  WHERE seg_kind IN ('hour', 'day_type', 'occupancy', 'global') GROUP BY 1, 2, 3 HAVING seg_kind = 'global' OR count(*) >= CASE WHEN seg_kind = 'occupancy' THEN 24 ELSE 20 END),
+sc AS (SELECT *, greatest(0.0, p10 - y_true, y_true - p90) AS score FROM seg),
+cf AS (SELECT model_key, seg_kind, seg_key, least(0.35, greatest(0.0, r)) AS margin, n FROM {_wq('score', 0.8, 'sc')}
+  WHERE (seg_kind = 'global' OR n >= 20) AND model_key IN (SELECT model_key FROM bo GROUP BY 1 HAVING count(*) >= 120)),
+hr AS (SELECT *, floor(h) AS wh FROM (SELECT *, greatest(0.0, (epoch(ts) - epoch(TIMESTAMP '{NOW}')) / 3600.0) AS h FROM bo)),
+rw AS (SELECT *, {ROW_KEYS} FROM hr),
+sd AS (
+  SELECT r.model_key, r.location_id, r.ts, r.p10, r.p50, r.p90, r.h, r.wh, coalesce(r_horizon.mae, r_block.mae, r_day_type.mae, r_global.mae, 0.0) AS mae,
+    {_tried('bias', BIAS_KINDS, 'b_')} + coalesce(coalesce(d_occupancy.bias * least(1.0, d_occupancy.n / 72.0), d_hour.bias * least(1.0, d_hour.n / 60.0), d_day_type.bias * least(1.0, d_day_type.n / 60.0),
+      d_global.bias * least(1.0, d_global.n / 60.0)) * 0.6 * exp(-r.wh / 8.0), 0.0) AS bias
+  FROM rw r """ + " ".join(
+    [_found("rg", f"r_{k}", k, "r." + SEG_KEYS[k] if k != "global" else SEG_KEYS[k]) for k in ("horizon", "block", "day_type", "global")]
+    + [_found("bi", f"b_{k}", k, "r." + SEG_KEYS[k] if k != "global" else SEG_KEYS[k]) for k in (*BIAS_KINDS, "global")]
+    + [_found("df", f"d_{k}", k, "r." + SEG_KEYS[k] if k != "global" else SEG_KEYS[k]) for k in ("occupancy", "hour", "day_type", "global")]) + """),
+dh AS (SELECT location_id, isodow(bucket_ts) AS dw, hour(bucket_ts) AS hh, avg(ratio) AS m FROM ratio GROUP BY 1, 2, 3),
+nn AS (SELECT location_id, count(*) AS n FROM ratio GROUP BY 1),
+w1 AS (
+  SELECT p.model_key, p.location_id, p.ts, p.h, p.wh, dh.m AS pr, nn.n, max_cap, p.mae AS pm, f.mae AS fm, p.bias AS pb, f.bias AS fb, p.p10 AS a10, p.p50 AS a50, p.p90 AS a90, f.p10 AS f10, f.p50 AS f50, f.p90 AS f90, 0.66 AS w
+  FROM sd p JOIN sd f ON f.model_key = 'all' AND f.location_id = p.location_id AND f.ts = p.ts JOIN nn ON nn.location_id = p.location_id JOIN caps ON caps.location_id = p.location_id
+  JOIN dh ON dh.location_id = p.location_id AND dh.dw = isodow(p.ts) AND dh.hh = hour(p.ts) WHERE p.model_key <> 'all'),
+w2 AS (SELECT * REPLACE (CASE WHEN pm > 0 AND fm > 0 THEN least(0.9, greatest(0.15, 0.6 * w + 0.4 * (1 / greatest(1e-4, pm)) / (1 / greatest(1e-4, pm) + 1 / greatest(1e-4, fm)))) ELSE w END AS w) FROM w1),
+w3 AS (SELECT * REPLACE (least(0.9, greatest(0.15, 0.55 * w + 0.45 * 0.5)) AS w) FROM w2),
+w4 AS (SELECT * REPLACE (CASE WHEN n < 80 THEN least(0.9, greatest(0.15, (1 - 0.22 * (1 - n / 80.0)) * w + 0.22 * (1 - n / 80.0) * 0.15)) ELSE w END AS w) FROM w3),
+mx AS (SELECT model_key, location_id, ts, h, wh, pr, n, max_cap, w * a10 + (1 - w) * f10 AS p10, w * a50 + (1 - w) * f50 AS p50, w * a90 + (1 - w) * f90 AS p90, w * pb + (1 - w) * fb AS bias, abs(a50 - f50) AS apart FROM w4),
+s1 AS (""" + blend("mx", "0.35 * (1 - least(1.0, n / 60.0))") + """),
+s2 AS (SELECT * REPLACE (p10 + bias AS p10, p50 + bias AS p50, p90 + bias AS p90) FROM s1),
+s4 AS (""" + blend("s2", "CASE WHEN h <= 4 THEN 0.55 * exp(-h / 1.6) * exp(-12 / 35.0) ELSE 0 END", "0.5") + """),
+s5 AS (""" + blend("s4", "0.28 * least(1.0, greatest(0.0, (h - 4) / 8))") + f"""),
+ce AS (SELECT *, {ROW_KEYS} FROM s5),
+mg AS (SELECT r.*, {_tried('margin', MARGIN_KINDS, 'c_')} AS margin FROM ce r """ + " ".join(
+    _found("cf", f"c_{k}", k, "r." + SEG_KEYS[k] if k != "global" else SEG_KEYS[k]) for k in (*MARGIN_KINDS, "global")) + """),
+wd AS (SELECT *, p50 - p10 + greatest(0.0, margin) AS lo, p90 - p50 + greatest(0.0, margin) AS hi,
+  1.15 * least(1.38, greatest(1.0, 1 + (apart - 0.03) * 0.75)) * (1 + 0.28 * (1 - least(1.0, n / 80.0))) AS mult FROM mg),
+cl AS (SELECT *, least(1.2, greatest(0.0, p50 - greatest(0.0, lo) * mult)) AS q10, least(1.2, greatest(0.0, p50)) AS q50, least(1.2, greatest(0.0, p50 + greatest(0.0, hi) * mult)) AS q90 FROM wd)
+SELECT location_id, ts AS target_ts, R6(least(q10, q90) * max_cap, 4) AS count_p10, R6(least(greatest(q50, least(q10, q90)), greatest(q10, q90)) * max_cap, 4) AS count_p50, R6(greatest(q10, q90) * max_cap, 4) AS count_p90, n AS samples FROM cl"""
+
+
+@query("estimate_locations", "WITH " + ESTIMATE)
 def estimate(spark, d):
     """Blend of a section model and an overall model, both hour-of-day means, at every grid step."""
     from crowdtide.catalog.base import capacity, now
@@ -172,4 +245,4 @@ def estimate(spark, d):
     live = counts.select("location_id", F.lit(0.5).alias("live_ratio"), F.lit(12.0).alias("live_age"))
     scored = both.select("model_key", "location_id", "ts", "p10", "p50", "p90", F.lit(0.1).alias("missing"))
     out = estimate_locations(targets, scored, calibration, cut_lineage(seasonal_profiles(grid)), live, now())
-    return out.select("location_id", "target_ts", "count_p10", "count_p50", "count_p90", "samples")
+    return out.select("location_id", "target_ts", *[r6(F.col(c), 4).alias(c) for c in ("count_p10", "count_p50", "count_p90")], "samples")

@@ -73,12 +73,12 @@ def open_windows(spark, d):
     return schedule.open_windows(rule_table(spark), event_days(spark, d)).select("facility_id", "day", "start_min", "end_min")
 
 
-@query("merge_open_windows", """WITH w AS (SELECT user_id % 3 AS facility_id, CAST(ts AS DATE) AS day, CAST(event_id * 37 % 1300 AS INTEGER) AS a, CAST(event_id * 37 % 1300 + 10 + event_id % 90 AS INTEGER) AS b FROM events WHERE event_type = 'view'),
+@query("merge_open_windows", """WITH w AS (SELECT user_id % 3 AS facility_id, CAST(ts AS DATE) AS day, CAST(event_id * 37 % 1300 AS INTEGER) AS a, CAST(event_id * 37 % 1300 + 10 + event_id % 90 AS INTEGER) AS b FROM events),
 o AS (SELECT *, max(b) OVER (PARTITION BY facility_id, day ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w),
 i AS (SELECT *, sum(CASE WHEN a <= r THEN 0 ELSE 1 END) OVER (PARTITION BY facility_id, day ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM o)
 SELECT facility_id, day, min(a) AS start_min, max(b) AS end_min FROM i GROUP BY facility_id, day, g""")
 def merge(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'view'")
+    e = table(spark, d, "events")
     start = (F.col("event_id") * 37 % 1300).cast("int")
     w = e.select((F.col("user_id") % 3).alias("facility_id"), F.to_date("ts").alias("day"), start.alias("start_min"), (start + 10 + F.col("event_id") % 90).cast("int").alias("end_min"))
     return schedule.merge_open_windows(w, ["facility_id", "day"]).select("facility_id", "day", "start_min", "end_min")

@@ -58,18 +58,11 @@ def weather_hours(spark, d):
 
 
 @query("weather_day_summary", "WITH " + WEATHER + """
-SELECT CAST(ts AS DATE) AS day, R6(avg(temp_c), 3) AS avg_temp, R6(sum(precip_mm), 3) AS sum_precip, R6(max(wind_mps), 3) AS max_wind,
-       list_sort(list_distinct(list(CAST(floor(temp_c) AS INTEGER) % 9))) AS codes
-FROM (SELECT * FROM weather WHERE temp_c IS NOT NULL) GROUP BY 1""")
+SELECT CAST(ts AS DATE) AS day, round_even(avg(temp_c), 2) AS avg_temp_c, round_even(sum(precip_mm), 2) AS sum_precip_mm, round_even(max(wind_mps), 2) AS max_wind_mps,
+       list_sort(list_distinct(list(CAST(floor(temp_c) AS INTEGER) % 9))) AS weather_codes FROM weather GROUP BY 1""")
 def weather_summary(spark, d):
-    w = weather(spark, d).filter("temp_c IS NOT NULL").withColumn("day", F.to_date("ts")).withColumn(
-        "weather_code", F.floor("temp_c").cast("int") % 9
-    )
-    exact = w.groupBy("day").agg(
-        r6(F.avg("temp_c"), 3).alias("avg_temp"), r6(F.sum("precip_mm"), 3).alias("sum_precip"), r6(F.max("wind_mps"), 3).alias("max_wind")
-    )
-    codes = wx.weather_day_summary(w, ["day"]).select("day", F.col("weather_codes").alias("codes"))
-    return exact.join(codes, "day")
+    w = weather(spark, d).withColumn("day", F.to_date("ts")).withColumn("weather_code", F.floor("temp_c").cast("int") % 9)
+    return wx.weather_day_summary(w, ["day"]).select("day", "avg_temp_c", "sum_precip_mm", "max_wind_mps", "weather_codes")
 
 
 @query("merge_weather", "WITH " + WEATHER + """

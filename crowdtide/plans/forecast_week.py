@@ -34,13 +34,14 @@ TARGET = ["facility_id", "day", "target_ts"]
 
 
 def location_targets(capacity: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every location with every target time of its facility, or of all if shared.
+    """Every location with every target time of its facility."""
+    return capacity.join(targets, "facility_id")
 
-    The target side is a fixed grid: days times steps per facility.
-    """
-    if "facility_id" in targets.columns:
-        return capacity.join(targets, "facility_id")
-    return capacity.crossJoin(targets)
+
+def capacity_targets(capacity: DataFrame, first_day, *, days: int = config.FORECAST_DAYS, step: int = config.RESAMPLE_MINUTES) -> DataFrame:
+    """Every location with every step of the days from ``first_day`` on; each row makes its own grid."""
+    dated = capacity.withColumn("day", F.explode(F.sequence(first_day, F.date_add(first_day, days - 1))))
+    return targets_for_days(dated, step_minutes=step)
 
 
 def week_targets(dimension: DataFrame, now, rules: DataFrame | None, *, days: int = config.FORECAST_DAYS, step: int = config.RESAMPLE_MINUTES) -> DataFrame:

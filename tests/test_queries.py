@@ -11,7 +11,7 @@ QUERIES, SQL = load()
 DENSER = "/root/testdata/sf0.01"
 NEED_DENSER = (
     "infer_step_minutes", "label_runs", "crowd_bands", "windows_from_bands", "quiet_windows", "merge_adjacent_bands", "band_at_midpoint", "clip_to_open_windows",
-    "contained_in_open_window", "current_band",
+    "contained_in_open_window", "current_band", "bridge_bands_until_stable", "compact_windows", "model_store",
 )
 
 
