@@ -12,7 +12,9 @@ from crowdtide.catalog.base import GRID, NOW, PRED, RATIO, WEATHER, locations, p
 from crowdtide.catalog.calibration import BIAS, SEG, _wq, blend
 from crowdtide.catalog.schedules import rule_table
 from crowdtide.operators import calendar, row_weights, segments
+from crowdtide.operators.asof import LAGS
 from crowdtide.operators.clean import seasonal_profiles
+from crowdtide.operators.rolling_stats import DELTAS, MEAN_HOURS, RANGE_HOURS, STD_HOURS, TRENDS
 from crowdtide.plans import feature_table as ft
 from crowdtide.plans import training
 from crowdtide.session import cut_lineage
@@ -31,23 +33,73 @@ def features(spark, d, targets=None):
     )
 
 
-@query("feature_table", "WITH " + RATIO + "," + WEATHER + """,
+FEATURE_LAGS = {**LAGS, "lag_15m": 60}
+LAG_ROWS = ", ".join(f"('{n}', {m})" for n, m in FEATURE_LAGS.items())
+ROLLED = {
+    **{n: f"avg(ratio) {GRID_FRAME.format(m=60 * h)}" for n, h in MEAN_HOURS.items()},
+    **{n: f"CASE WHEN count(ratio) {GRID_FRAME.format(m=60 * h)} >= 2 THEN stddev_pop(ratio) {GRID_FRAME.format(m=60 * h)} END" for n, h in STD_HOURS.items()},
+    **{n: f"max(ratio) {GRID_FRAME.format(m=60 * h)} - min(ratio) {GRID_FRAME.format(m=60 * h)}" for n, h in RANGE_HOURS.items()},
+    "missing_recent": f"1.0 - count(ratio) {GRID_FRAME.format(m=120)} / 2.0",
+}
+WX_KEYS = ("temp_c", "wind_mps", "precip_mm")
+MOMENT = {
+    "hour": "hour(bucket_ts)", "minute": "0", "quarter_slot": "0", "dow": "isodow(bucket_ts) - 1", "month": "month(bucket_ts)", "day_of_year": "dayofyear(bucket_ts)",
+    "is_weekend": "CAST(isodow(bucket_ts) >= 6 AS INTEGER)",
+}
+TURNS = {"hour": "hour(bucket_ts) / 24.0", "minute": "hour(bucket_ts) * 60 / 1440.0", "dow": "(isodow(bucket_ts) - 1) / 7.0", "month": "(month(bucket_ts) - 1) / 12.0", "doy": "dayofyear(bucket_ts) / 365.25"}
+MOMENT |= {f"{n}_{f}": f"{f}({turn} * 2 * pi())" for n, turn in TURNS.items() for f in ("sin", "cos")}
+FLAGS = {
+    "weather_precip": "precip_mm_now > 0.05", "weather_heavy": "precip_mm_now >= 1.5", "weather_cold": "temp_c_now <= 2", "weather_hot": "temp_c_now >= 27", "weather_windy": "wind_mps_now >= 6", "weather_humid": "false",
+}
+COMPUTED = {
+    **{n: n for n in FEATURE_LAGS}, **{n: f"lag_15m - {lag}" for n, lag in DELTAS.items()}, **{n: n for n in ROLLED}, **{n: f"{a} - {b}" for n, (a, b) in TRENDS.items() if "accel" not in n},
+    **{n: f"({TRENDS[a][0]} - {TRENDS[a][1]}) - ({TRENDS[b][0]} - {TRENDS[b][1]})" for n, (a, b) in TRENDS.items() if "accel" in n},
+    "last_bucket": "last_bucket", "minutes_since_bucket": "epoch(bucket_ts - last_at) / 60", "minutes_since_raw": "minutes_since_raw", "flat_steps": "flat_steps",
+    **MOMENT, **{n: f"CAST(coalesce({test}, false) AS INTEGER)" for n, test in FLAGS.items()},
+    **{f"{k}_{part}": f"{k}_{part}" for k in WX_KEYS for part in ("now", "1h", "roll")}, **{f"{k}_delta_1h": f"{k}_now - {k}_1h" for k in WX_KEYS}, "term_progress": "-1.0",
+}
+
+
+def _nulls(names, width: int) -> str:
+    """Share of missing ones; columns beyond the named ones are never known here."""
+    return "(" + " + ".join(f"CAST({n} IS NULL AS INTEGER)" for n in names) + f" + {width - len(list(names))}) / {float(width)}"
+
+
+SHOWN_SHARES = {
+    "lag_missing": _nulls(LAGS, 7), "delta_missing": _nulls(DELTAS, 5), "trend_missing": _nulls(TRENDS, 5), "roll_missing": _nulls([*MEAN_HOURS, *STD_HOURS, *RANGE_HOURS], 11),
+    "missing_weather_now": _nulls([f"{k}_now" for k in WX_KEYS], 9), "missing_weather_1h": _nulls([f"{k}_1h" for k in WX_KEYS], 9),
+    "missing_weather_delta": _nulls([f"{k}_delta_1h" for k in WX_KEYS], 9), "missing_weather_roll": _nulls([f"{k}_roll" for k in WX_KEYS], 3),
+}
+SHOWN = [*COMPUTED, *SHOWN_SHARES, "dynamics_missing"]
+
+
+@query("feature_table", "WITH " + RATIO + "," + WEATHER + f""",
 dh AS (SELECT location_id, isodow(bucket_ts) AS dw, hour(bucket_ts) AS h, avg(ratio) AS m FROM ratio GROUP BY 1, 2, 3),
 hh AS (SELECT location_id, hour(bucket_ts) AS h, avg(ratio) AS m FROM ratio GROUP BY 1, 2),
 al AS (SELECT location_id, avg(ratio) AS m FROM ratio GROUP BY 1),
-lg AS (SELECT r.location_id, r.bucket_ts, coalesce(l.ratio, dh.m, hh.m, al.m) AS lag_24h FROM ratio r
-  LEFT JOIN ratio l ON l.location_id = r.location_id AND l.bucket_ts = r.bucket_ts - INTERVAL '24 hours'
-  LEFT JOIN dh ON dh.location_id = r.location_id AND dh.dw = isodow(r.bucket_ts - INTERVAL '24 hours') AND dh.h = hour(r.bucket_ts)
-  LEFT JOIN hh ON hh.location_id = r.location_id AND hh.h = hour(r.bucket_ts) LEFT JOIN al ON al.location_id = r.location_id),
-rl AS (SELECT location_id, bucket_ts, avg(ratio) """ + GRID_FRAME.format(m=360) + """ AS roll_6h, lag(ratio) OVER (PARTITION BY location_id ORDER BY bucket_ts) AS last_bucket FROM ratio),
+sent AS (SELECT r.location_id, r.bucket_ts, v.name, r.bucket_ts - v.mi * INTERVAL '1 minute' AS back FROM ratio r CROSS JOIN (VALUES {LAG_ROWS}) v(name, mi)),
+lagl AS (
+  SELECT s.location_id, s.bucket_ts, s.name, coalesce(l.ratio, dh.m, hh.m, al.m) AS x FROM sent s LEFT JOIN ratio l ON l.location_id = s.location_id AND l.bucket_ts = s.back
+  LEFT JOIN dh ON dh.location_id = s.location_id AND dh.dw = isodow(s.back) AND dh.h = hour(s.back) LEFT JOIN hh ON hh.location_id = s.location_id AND hh.h = hour(s.back) LEFT JOIN al ON al.location_id = s.location_id),
+lags AS (SELECT location_id, bucket_ts, {", ".join(f"max(x) FILTER (name = '{n}') AS {n}" for n in FEATURE_LAGS)} FROM lagl GROUP BY 1, 2),
+rl AS (
+  SELECT location_id, bucket_ts, {", ".join(f"{e} AS {n}" for n, e in ROLLED.items())}, lag(ratio) OVER w AS last_bucket, lag(bucket_ts) OVER w AS last_at
+  FROM ratio WINDOW w AS (PARTITION BY location_id ORDER BY bucket_ts)),
+fl AS (
+  SELECT a.location_id, a.bucket_ts, CASE WHEN b.ratio IS NULL THEN 0 WHEN c.ratio IS NULL OR abs(c.ratio - b.ratio) > 0.002 THEN 1 ELSE 2 END AS flat_steps FROM ratio a
+  LEFT JOIN ratio b ON b.location_id = a.location_id AND b.bucket_ts = a.bucket_ts - INTERVAL '60 minutes' LEFT JOIN ratio c ON c.location_id = a.location_id AND c.bucket_ts = a.bucket_ts - INTERVAL '120 minutes'),
 rw AS (SELECT r.location_id, r.bucket_ts, (epoch_us(r.bucket_ts) - epoch_us(s.observed_at)) / 60e6 AS minutes_since_raw FROM ratio r ASOF LEFT JOIN series s ON s.location_id = r.location_id AND s.observed_at < r.bucket_ts),
-wx AS (SELECT r.location_id, r.bucket_ts, w.temp_c AS temp_c_now FROM ratio r ASOF LEFT JOIN (SELECT ts, temp_c FROM weather WHERE temp_c IS NOT NULL) w ON w.ts <= r.bucket_ts)
-SELECT location_id, bucket_ts, R6(lag_24h, 6) AS lag_24h, R6(roll_6h, 6) AS roll_6h, R6(last_bucket, 6) AS last_bucket, R6(minutes_since_raw, 4) AS minutes_since_raw,
-  R6(temp_c_now, 6) AS temp_c_now, R6(sin(hour(bucket_ts) / 24.0 * 2 * pi()), 6) AS hour_sin, -1.0 AS term_progress
-FROM lg JOIN rl USING (location_id, bucket_ts) JOIN rw USING (location_id, bucket_ts) JOIN wx USING (location_id, bucket_ts)""")
+tl AS (SELECT unnest(generate_series(min(bucket_ts) - INTERVAL '12 hours', max(bucket_ts), INTERVAL '1 hour')) AS t FROM ratio),
+wa AS (SELECT tl.t, {", ".join(f"{k}.{k}" for k in WX_KEYS)} FROM tl {" ".join(f"ASOF LEFT JOIN (SELECT ts, {k} FROM weather WHERE {k} IS NOT NULL) {k} ON {k}.ts <= tl.t" for k in WX_KEYS)}),
+wx AS (
+  SELECT t, {", ".join(f"{k} AS {k}_now, lag({k}) OVER (ORDER BY t) AS {k}_1h, avg({k}) OVER (ORDER BY t RANGE BETWEEN INTERVAL '12 hours' PRECEDING AND INTERVAL '1 minute' PRECEDING) AS {k}_roll" for k in WX_KEYS)} FROM wa),
+al1 AS (SELECT location_id, bucket_ts, {", ".join(f"{e} AS {n}" for n, e in COMPUTED.items())}
+  FROM lags JOIN rl USING (location_id, bucket_ts) JOIN fl USING (location_id, bucket_ts) JOIN rw USING (location_id, bucket_ts) JOIN wx ON wx.t = bucket_ts),
+al2 AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in SHOWN_SHARES.items())} FROM al1),
+al3 AS (SELECT *, (lag_missing + delta_missing + trend_missing + roll_missing) / 4 AS dynamics_missing FROM al2)
+SELECT location_id, bucket_ts, {", ".join(f"R6({n}, 4) AS {n}" for n in SHOWN)} FROM al3""")
 def feature_table(spark, d):
-    shown = {"lag_24h": 6, "roll_6h": 6, "last_bucket": 6, "minutes_since_raw": 4, "temp_c_now": 6, "hour_sin": 6}
-    return features(spark, d).select("location_id", "bucket_ts", *[r6(F.col(c), n).alias(c) for c, n in shown.items()], "term_progress")
+    return features(spark, d).select("location_id", "bucket_ts", *[r6(F.col(c), 4).alias(c) for c in SHOWN])
 
 
 COLS = ("value", "a", "b")
